@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from quillsift.operators import logparse
 from quillsift.operators import orphans as orphans_op
 from quillsift.operators import rejects as rejects_op
 from quillsift.operators import upsert as upsert_op
@@ -16,6 +19,18 @@ def p2_orphans_by_batch(spark, d):
     return orphans_op.orphan_report(table(spark, d, "delivery_start"), table(spark, d, "msgid_line"), table(spark, d, "mailbox_file"))
 
 
+def p3_found(spark, d):
+    return logparse.deliveries(table(spark, d, "mail_log"))
+
+
+def p3_entries_by_level(spark, d):
+    """Entries, lines and unparsed characters of every file by level and component."""
+    e = logparse.parse_log(table(spark, d, "mail_log"))
+    return e.groupBy("file", "level").agg(
+        F.count(F.lit(1)).alias("entries"), F.sum("lines").alias("lines"), F.count("verdict").alias("deliveries")
+    )
+
+
 def p4_found(spark, d):
     return upsert_op.surplus(table(spark, d, "msgid_line"), table(spark, d, "delivery_start"))
 
@@ -39,6 +54,8 @@ def p5_outcomes(spark, d):
 QUERIES = {
     "p2_found": p2_found,
     "p2_orphans_by_batch": p2_orphans_by_batch,
+    "p3_found": p3_found,
+    "p3_entries_by_level": p3_entries_by_level,
     "p4_found": p4_found,
     "p4_surplus_by_batch": p4_surplus_by_batch,
     "p5_found": p5_found,
@@ -101,7 +118,40 @@ judged AS (SELECT csv_id, file, line_no, word,
        OR word = '' OR regexp_matches(word, '[\x{00}-\x{1f}\x{7f}-\x{9f}\x{fffd}]') THEN 'value' END AS reason FROM w)
 """
 
+# entries by a running count of header lines; one pattern for each layout, folder greedy up to the last result
+_P3 = r"""
+WITH l AS (SELECT file, line_no, rtrim(coalesce(line, ''), chr(13)) AS line FROM mail_log),
+h AS (SELECT *, regexp_matches(line, '^(\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d|(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) [ \d]\d \d\d:|\[\d\d/|time=\d|<\d+>\d{4}-|\{)') AS head FROM l),
+g AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY file ORDER BY line_no) AS n FROM h),
+-- noise behind an entry is no part of it
+e AS (SELECT file, min(line_no) AS line_no, string_agg(line, chr(10) ORDER BY line_no) AS t FROM g
+      WHERE head OR regexp_matches(line, '^\s+\S') AND NOT regexp_matches(line, '^\s+(\||at )') OR line = '}' GROUP BY file, n HAVING bool_or(head)),
+x AS (SELECT file, line_no, t, regexp_extract(file, '(\d{4})-\d\d-\d\d', 1) AS y, CASE
+   WHEN t LIKE '{%' THEN 'json' WHEN t LIKE 'time=%' THEN 'kv' WHEN t LIKE '<%' THEN 'pri' WHEN t LIKE '[%' THEN 'clf'
+   WHEN regexp_matches(t, '^\d{4}-\d\d-\d\d ') THEN 'block' WHEN regexp_matches(t, '^\d') THEN 'iso' ELSE 'sys' END AS k FROM e),
+f AS (SELECT *, CASE k WHEN 'block' THEN '' WHEN 'clf' THEN ''
+   WHEN 'json' THEN CASE WHEN json_valid(t) THEN regexp_extract(json_extract_string(t, '$.msg'), '^(?:sieve: )?(DELIVERY: .*)$', 1) ELSE '' END
+   WHEN 'kv' THEN regexp_replace(regexp_extract(t, '^time=[\d.]+ .*?msg="(DELIVERY: .*)"$', 1), '\\(.)', '\1', 'g')
+   WHEN 'pri' THEN regexp_extract(t, '^<\d+>\S+ \S+ \S+ \d+ (DELIVERY) \[sess="[^"]*"\] ', 1) || ': ' || regexp_extract(t, '^<\d+>\S+ \S+ \S+ \d+ DELIVERY \[sess="[^"]*"\] (.*)$', 1)
+   ELSE regexp_extract(t, '(?s)^.*?\)<\d+><[^>]*>: (?:sieve: DEBUG: |Debug: sieve: )(DELIVERY: .*)$', 1) END AS d FROM x),
+r AS (SELECT *, CASE k WHEN 'block' THEN regexp_extract(t, '\n\s+folder: *([^\n]*[^\n ])', 1) WHEN 'clf' THEN regexp_replace(regexp_extract(t, ' folder="((?:[^"\\]|\\.)*)"', 1), '\\(.)', '\1', 'g')
+     ELSE regexp_extract(d, '(?s)^DELIVERY: [^\s@]+@\S+ ->\s+(\S.*?) *\((?i:spam|good) +[\d.eE+-]+\)$', 1) END AS folder,
+   CASE k WHEN 'block' THEN regexp_extract(t, '\n\s+verdict: *((?i:spam|good)) +[\d.eE+-]+(\n|$)', 1) WHEN 'clf' THEN regexp_extract(t, ' verdict=((?i:spam|good))( |$)', 1)
+     ELSE regexp_extract(d, '\(((?i:spam|good)) +[\d.eE+-]+\)$', 1) END AS verdict,
+   CASE k WHEN 'block' THEN regexp_extract(t, '\n\s+verdict: *(?i:spam|good) +([\d.eE+-]+)(\n|$)', 1) WHEN 'clf' THEN regexp_extract(t, ' score=([\d.eE+-]+)( |$)', 1)
+     ELSE regexp_extract(d, '\((?i:spam|good) +([\d.eE+-]+)\)$', 1) END AS score,
+   CASE k WHEN 'block' THEN regexp_matches(t, '\n\s+user: *\S+@') WHEN 'clf' THEN regexp_matches(t, ' DELIVERY .*user=\S+@') ELSE true END AS owner,
+   CASE k WHEN 'json' THEN json_extract_string(t, '$.time') WHEN 'pri' THEN regexp_extract(t, '^<\d+>(\S+)', 1)
+     WHEN 'block' THEN replace(regexp_extract(t, '^(\S+ \S+)', 1), ',', '.') || '+00:00' ELSE regexp_extract(t, '^(\S+)', 1) END AS ts FROM f)
+SELECT file, line_no, CASE k WHEN 'kv' THEN CAST(round(CAST(regexp_extract(ts, '=(.*)', 1) AS DECIMAL(20, 6)) * 1000000) AS BIGINT)
+    WHEN 'clf' THEN epoch_us(strptime(regexp_extract(t, '^\[([^\]]*)\]', 1), '%d/%b/%Y:%H:%M:%S %z'))
+    WHEN 'sys' THEN epoch_us(strptime(y || ' ' || replace(left(t, 15), '  ', ' 0'), '%Y %b %d %H:%M:%S')) ELSE epoch_us(CAST(ts AS TIMESTAMPTZ)) END AS ts_us,
+  upper(verdict) AS verdict, CAST(round(CAST(score AS DOUBLE) * 1000000) AS BIGINT) AS score_e6, folder
+FROM r WHERE owner AND folder <> '' AND verdict <> '' AND TRY_CAST(score AS DOUBLE) IS NOT NULL
+"""
+
 SQL = {
+    "p3_found": _P3,
     "p2_found": _P2 + "SELECT src_table, src_field, row_id, reason FROM miss WHERE reason IS NOT NULL",
     "p2_orphans_by_batch": _P2 + "SELECT src_table, src_field, batch_id, reason, count(*) AS misses FROM miss WHERE reason IS NOT NULL GROUP BY ALL",
     "p4_found": _P4 + "SELECT row_id FROM ranked WHERE rn > 1",
