@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillsift.llm import lookalike
+from quillsift.llm import leakage, lookalike
 from quillsift.shared import table
 
 
@@ -14,9 +14,19 @@ def p1_merged(spark, d):
     return lookalike.merged(table(spark, d, "tokens"))
 
 
+def p7_found(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item")).select("item_id", "doc_id")
+
+
+def p7_leaks(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_merged": p1_merged,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
 }
 
 
