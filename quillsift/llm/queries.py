@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillsift.llm import leakage, lookalike
+from quillsift.llm import leakage, lookalike, packing, sentences
 from quillsift.shared import table
 
 
@@ -14,6 +14,14 @@ def p1_merged(spark, d):
     return lookalike.merged(table(spark, d, "tokens"))
 
 
+def p6_packed(spark, d):
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "container_kind"))
+
+
+def p6_fill(spark, d):
+    return packing.fill_report(packing.pack(table(spark, d, "documents"), table(spark, d, "container_kind")))
+
+
 def p7_found(spark, d):
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item")).select("item_id", "doc_id")
 
@@ -22,11 +30,18 @@ def p7_leaks(spark, d):
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def p8_found(spark, d):
+    return sentences.sentences(table(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_merged": p1_merged,
+    "p6_packed": p6_packed,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p8_found": p8_found,
 }
 
 
