@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.shared import materialize, msgid_key, narrow_key, session_key, shuffle_width
+from quillsift.shared import materialize, narrow_key, shuffle_width, with_references
 
 #: Entries of a block at least, blocks of the directory at most, references of a piece at most.
 BLOCK_ROWS, MAX_BLOCKS, PIECE_ROWS = 20_000, 20_000, 50_000
@@ -178,10 +178,18 @@ def _micros(c):
 
 def orphans(delivery_start: DataFrame, msgid_line: DataFrame, mailbox_file: DataFrame) -> DataFrame:
     """``src_table, src_field, row_id, reason`` of every reference that its target can't answer."""
-    ds, ml = delivery_start, msgid_line
-    ses = {n: d.select(F.col("row_id").cast("bigint").alias("row_id"), narrow_key(session_key(F.col("session"))).alias("k"), _micros("loaded_at").alias("t")) for n, d in (("delivery_start", ds), ("msgid_line", ml))}
-    mid = ml.select(F.col("row_id").cast("bigint").alias("row_id"), narrow_key(msgid_key(F.col("msgid"))).alias("k"), _micros("loaded_at").alias("t"))
-    files = mailbox_file.select(narrow_key(msgid_key(F.col("msgid"))).alias("k"), _micros("seen_at").alias("t"), _micros("deleted_at").alias("e"))
+    def keyed(df: DataFrame, keep: dict, sessions: dict, msgids: dict) -> DataFrame:
+        df = with_references(df.select(*(c.alias(k) for k, c in keep.items()), *{*sessions.values(), *msgids.values()}), sessions, msgids)
+        return df.withColumns({k: narrow_key(F.col(k)) for k in (*sessions, *msgids)})
+
+    row = {"row_id": F.col("row_id").cast("bigint"), "t": _micros("loaded_at")}
+    both = keyed(msgid_line, row, {"s": "session"}, {"m": "msgid"})
+    ses = {
+        "delivery_start": keyed(delivery_start, row, {"k": "session"}, {}),
+        "msgid_line": both.select("row_id", F.col("s").alias("k"), "t"),
+    }
+    mid = both.select("row_id", F.col("m").alias("k"), "t")
+    files = keyed(mailbox_file, {"t": _micros("seen_at"), "e": _micros("deleted_at")}, {}, {"k": "msgid"})
 
     def tagged(tag):
         return F.concat(F.lit(tag), F.col("k"))

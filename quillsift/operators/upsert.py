@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.shared import drop_path, msgid_key, readable_instant, scratch_path, session_key, shuffle_width
+from quillsift.shared import drop_path, readable_instant, scratch_path, shuffle_width, with_references
 
 FAR = 9223372036854775807
 
@@ -84,18 +84,19 @@ def message_ranks(msgid_line: DataFrame, delivery_start: DataFrame, batches_per_
     one row each before the join; rows without a session don't take part in it.
     """
     times = (
-        delivery_start.select(session_key(F.col("session")).alias("s"), readable_instant(F.col("ts")).alias("t"))
+        with_references(delivery_start.select("session", readable_instant(F.col("ts")).alias("t")), {"s": "session"})
         .filter(F.col("s").isNotNull() & F.col("t").isNotNull())
         .groupBy("s")
         .agg(F.min("t").alias("t"))
     )
-    lines = msgid_line.select(
-        F.col("row_id").cast("bigint").alias("row_id"),
-        F.col("u"),
-        msgid_key(F.col("msgid")).alias("k"),
-        session_key(F.col("session")).alias("s"),
-        F.coalesce(F.floor(F.col("batch_id") / batches_per_run), F.lit(-1)).cast("int").alias("run"),
-    ).filter(F.col("u").isNotNull() & F.col("k").isNotNull() & F.col("row_id").isNotNull())
+    lines = (
+        with_references(msgid_line.select("row_id", "u", "batch_id", "session", "msgid"), {"s": "session"}, {"k": "msgid"})
+        .filter(F.col("u").isNotNull() & F.col("k").isNotNull() & F.col("row_id").isNotNull())
+        .select(
+            F.col("row_id").cast("bigint").alias("row_id"), "u", "k", "s",
+            F.coalesce(F.floor(F.col("batch_id") / batches_per_run), F.lit(-1)).cast("int").alias("run"),
+        )
+    )
     ident = F.concat(F.col("u"), F.lit("\x00"), F.col("k")).alias("id")
     timed = lines.filter(F.col("s").isNotNull()).join(times, "s", "left")
     bare = lines.filter(F.col("s").isNull()).withColumn("t", F.lit(None).cast("bigint"))
@@ -106,9 +107,9 @@ def surplus(msgid_line: DataFrame, delivery_start: DataFrame, batches_per_run: i
     """``row_id`` of every row of ``msgid_line`` that repeats a message."""
     spark = msgid_line.sparkSession
     store = UpsertStore(spark).upsert(message_ranks(msgid_line, delivery_start, batches_per_run)).compact()
-    named = msgid_line.filter(F.col("u").isNotNull() & msgid_key(F.col("msgid")).isNotNull() & F.col("row_id").isNotNull()).select(
-        F.col("row_id").cast("bigint").alias("row_id")
-    )
+    named = with_references(msgid_line.select("row_id", "u", "msgid"), msgids={"k": "msgid"})
+    named = named.filter(F.col("u").isNotNull() & F.col("k").isNotNull() & F.col("row_id").isNotNull())
+    named = named.select(F.col("row_id").cast("bigint").alias("row_id"))
     return named.join(spark.table(store.name).select("row_id"), "row_id", "left_anti")
 
 

@@ -58,28 +58,28 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def trim_reference(c: Column) -> Column:
-    """A session or message id without the blanks and angle brackets at its ends; empty becomes NULL."""
-    return F.nullif(F.regexp_replace(c, r"^[\s <>]+|[\s <>]+$", ""), F.lit(""))
+#: Blanks and the angle brackets, as one set of characters to trim.
+_ENDS = " \t\n\r\x0b\x0c\xa0\u2007\u202f\u3000<>"
 
 
-def session_key(c: Column) -> Column:
-    """The comparable form of a session (case counts); NULL where there is no reference."""
-    return trim_reference(c)
+def with_references(df: DataFrame, sessions: dict[str, str] | None = None, msgids: dict[str, str] | None = None) -> DataFrame:
+    """Add the comparable forms of references: ``sessions`` and ``msgids`` map new columns to source columns.
 
-
-def msgid_key(c: Column) -> Column:
-    """The comparable form of a msgid: only the part after the last ``@`` ignores case.
-
-    NULL for null, empty and the placeholder ``noid``.
+    Both lose the blanks and angle brackets at their ends.  Sessions keep their case; of a msgid only the part
+    after the last ``@`` loses it.  Null and empty values, and ``noid`` as a msgid, become NULL.  Each step is a
+    projection of its own, so that nothing is computed twice for a row.
     """
-    t = trim_reference(c)
-    host = F.substring_index(t, "@", -1)
-    folded = F.when(
-        F.instr(t, "@") > 0,
-        F.concat(F.substring(t, F.lit(1), F.char_length(t) - F.char_length(host)), F.lower(host)),
-    ).otherwise(t)
-    return F.nullif(folded, F.lit("noid"))
+    sessions, msgids = sessions or {}, msgids or {}
+    df = df.withColumns({f"__{o}": F.btrim(F.col(c), F.lit(_ENDS)) for o, c in (sessions | msgids).items()})
+    at = {f"__{o}_host": F.substring_index(f"__{o}", "@", -1) for o in msgids}
+    df = df.withColumns(at) if at else df
+    out = {o: F.when(F.col(f"__{o}") != "", F.col(f"__{o}")) for o in sessions}
+    for o in msgids:
+        t, host = F.col(f"__{o}"), F.col(f"__{o}_host")
+        cut = F.char_length(t) - F.char_length(host)
+        whole = F.when(cut > 0, F.concat(F.substring(t, F.lit(1), cut), F.lower(host))).otherwise(t)
+        out[o] = F.when((t != "") & (t != "noid"), whole)
+    return df.withColumns(out).drop(*(f"__{o}" for o in sessions | msgids), *at)
 
 
 def narrow_key(c: Column) -> Column:
