@@ -107,6 +107,10 @@ def readable_instant(c: Column) -> Column:
     )
 
 
-def spread_hint(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Spread rows evenly before a heavy per-row step where the source has few splits."""
-    return df.repartition(parts or shuffle_width(df.sparkSession))
+def spread_hint(df: DataFrame) -> DataFrame:
+    """Spread the rows before a heavy step where the source has too few files to keep all cores busy.
+
+    A source of many files is left alone: its splits are spread already, and nothing is shuffled.
+    """
+    width = shuffle_width(df.sparkSession)
+    return df if len(df.inputFiles()) >= width else df.repartition(width)

@@ -1,0 +1 @@
+"""Stateful and windowed queries over streams, each with a batch twin it is compared with."""
