@@ -5,6 +5,10 @@ become one, letters and digits become the plain ones they are drawn as.  Looks a
 the accent-sensitive Unicode collation, which takes composed and combining accents as equal; each class's
 canonical member is the least of its plainest words, and is joined back to the rows.
 
+Two different words of printable ASCII without blanks never look the same, so such words count only where a
+word with other characters has their look: all others are left out by a semi join before anything is sorted
+under the collation.
+
 Everything stays in the JVM: the table is a literal of one ``translate``; the few characters that stand
 for several letters (ligatures) take a second path that only words containing one enter.
 
@@ -48,7 +52,7 @@ def tables() -> tuple[str, str, dict[str, str]]:
         kind = unicodedata.category(c)
         if kind in ("Cn", "Cs", "Co"):
             continue
-        if kind == "Cf" or c in NO_WIDTH or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF:
+        if kind == "Cf" or kind == "Cc" and not c.isspace() or c in NO_WIDTH or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF:
             gone.append(c)
         elif c in HYPHENS:
             one[c] = "-"
@@ -69,7 +73,7 @@ def tables() -> tuple[str, str, dict[str, str]]:
 def look(word: Column) -> Column:
     """What a word looks like, before the collation takes care of accents."""
     source, target, several = tables()
-    letters = F.create_map(*(F.lit(x) for kv in several.items() for x in kv))
+    letters = F.map_from_arrays(F.split(F.lit("\x1f".join(several)), "\x1f"), F.split(F.lit("\x1f".join(several.values())), "\x1f"))
     has = word.rlike("[" + "".join(several) + "]")
     wide = F.array_join(F.transform(F.split(word, ""), lambda c: F.coalesce(F.try_element_at(letters, c), c)), "")
     mapped = F.translate(F.when(has, wide).otherwise(word), source, target)
@@ -79,11 +83,21 @@ def look(word: Column) -> Column:
     return F.concat(prefix, F.trim(rest))
 
 
+def looked(tokens: DataFrame) -> DataFrame:
+    """The rows that may have a double, with their look under the collation as ``__key``."""
+    spark = tokens.sparkSession
+    named = tokens.filter(F.col("u").isNotNull() & F.col("word").isNotNull())
+    plain = F.col("word").rlike("^[!-~]+$")
+    odd = named.filter(~plain).withColumn("__look", look(F.col("word")))
+    wanted = odd.select("u", F.col("__look").alias("word")).distinct()
+    doubles = named.filter(plain).join(wanted, ["u", "word"], "left_semi").withColumn("__look", F.col("word"))
+    return spark.sql("SELECT *, __look COLLATE UNICODE AS __key FROM {r}", r=odd.unionByName(doubles)).drop("__look")
+
+
 def classes(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows with their look under the collation, and the classes that have more than one form."""
     spark = tokens.sparkSession
-    rows = tokens.filter(F.col("u").isNotNull() & F.col("word").isNotNull()).withColumn("__look", look(F.col("word")))
-    rows = spark.sql("SELECT *, __look COLLATE UNICODE AS __key FROM {r}", r=rows).drop("__look")
+    rows = looked(tokens)
     # partial aggregation first: copies of a word are combined before they travel
     found = spark.sql(
         """SELECT u, __key, min(struct(word RLIKE '[^ -~]' AS odd, word AS word)).word AS canonical
@@ -110,8 +124,11 @@ def same_look(tokens: DataFrame) -> DataFrame:
 
 def merged(tokens: DataFrame) -> DataFrame:
     """One row per owner and visible word: the canonical word, its forms and the counts together."""
-    rows, _ = classes(tokens.select("u", "word", "good", "spam", "last_seen"))
-    return tokens.sparkSession.sql(
+    spark = tokens.sparkSession
+    named = tokens.select("u", "word", "good", "spam", "last_seen").filter(F.col("u").isNotNull() & F.col("word").isNotNull())
+    known = F.when(F.col("word").rlike("^[!-~]+$"), F.col("word")).otherwise(look(F.col("word")))
+    rows = spark.sql("SELECT *, __look COLLATE UNICODE AS __key FROM {r}", r=named.withColumn("__look", known))
+    return spark.sql(
         """SELECT u, min(struct(word RLIKE '[^ -~]' AS odd, word AS word)).word AS word, count(DISTINCT word) AS forms,
                   sum(coalesce(good, 0)) AS good, sum(coalesce(spam, 0)) AS spam, max(last_seen) AS last_seen
            FROM {r} GROUP BY u, __key""",
