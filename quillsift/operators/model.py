@@ -93,12 +93,12 @@ def import_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Only the first three commas split; blanks around the counts and one quote at either end of the word go.
     """
-    got = lines.select("u", F.regexp_extract_all("line", F.lit(r"(?s)^([^,]*),([^,]*),[^,]*,(.*)$"), F.lit(0)).alias("m"), F.col("line"))
-    p = got.filter(F.size("m") > 0).select(
+    got = lines.select("u", F.regexp_replace("line", r"\r?\n?\z", "").alias("line"))
+    p = got.filter(F.col("line").rlike("^[^,]*,[^,]*,[^,]*,")).select(
         "u",
         F.expr("try_cast(trim(regexp_extract(line, '^([^,]*),', 1)) AS BIGINT)").alias("good"),
         F.expr("try_cast(trim(regexp_extract(line, '^[^,]*,([^,]*),', 1)) AS BIGINT)").alias("spam"),
-        F.regexp_replace(F.regexp_replace(F.trim(F.regexp_extract("line", r"(?s)^[^,]*,[^,]*,[^,]*,(.*)$", 1)), '^"', ""), '"$', "").alias("token"),
+        F.regexp_replace(F.regexp_replace(F.trim(F.regexp_extract("line", r"(?s)^[^,]*,[^,]*,[^,]*,(.*)\z", 1)), '^"', ""), r'"\z', "").alias("token"),
     )
     p = p.filter("good >= 0 and spam >= 0 and token <> ''")
 

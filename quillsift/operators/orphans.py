@@ -146,9 +146,8 @@ class ParentRanges:
 
 
 def _resolve(refs: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-    out = pd.DataFrame({"src_table": [], "src_field": [], "row_id": [], "reason": []})
     if not len(refs) or not len(block):
-        return out
+        return pd.DataFrame(columns=["src_table", "src_field", "row_id", "reason"], dtype=object)
     keys, ends = block["keys"].iloc[0], block["e"].iloc[0]
     carry, next_key = block["carry"].iloc[0], bytes(block["next_key"].iloc[0])
     width = max(max(map(len, keys)), int(refs["ck"].str.len().max()))
@@ -167,9 +166,8 @@ def _resolve(refs: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
     later = np.where(pos + 1 < len(keys), key_of[after] == wanted, wanted == next_key)
     reason = np.where(started, np.where(end > when, "", "deleted"), np.where(later, "late", "missing"))
     keep = reason != ""
-    out = refs.loc[keep, ["src_table", "src_field", "row_id"]].copy()
-    out["reason"] = reason[keep]
-    return out
+    out = {c: refs[c].to_numpy(object)[keep] for c in ("src_table", "src_field", "row_id")}
+    return pd.DataFrame(out | {"reason": reason[keep].astype(object)})
 
 
 def _micros(c):

@@ -49,16 +49,20 @@ class UpsertStore:
     def upsert(self, df: DataFrame) -> UpsertStore:
         """Write runs. A run that is there already is replaced, so a repeated delivery is harmless."""
         one = df.groupBy("run", "id").agg(F.min(F.struct("rank", "row_id")).alias("m"))
-        (
-            one.select("id", F.col("m.rank").alias("rank"), F.col("m.row_id").alias("row_id"), F.col("run").cast("int").alias("run"))
-            .repartition(self.buckets, "id")
-            .sortWithinPartitions("run", "id")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .insertInto(self.name)
-        )
+        rows = one.select("id", F.col("m.rank").alias("rank"), F.col("m.row_id").alias("row_id"), F.col("run").cast("int").alias("run"))
+        self._write(rows.repartition(self.buckets, "id").sortWithinPartitions("run", "id"), self.name)
         return self
 
+    def _write(self, rows: DataFrame, name: str) -> None:
+        """Replace the runs that ``rows`` holds and no others."""
+        key = "spark.sql.sources.partitionOverwriteMode"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, "dynamic")
+        try:
+            rows.write.mode("overwrite").insertInto(name)
+        finally:
+            self.spark.conf.set(key, before)
+
     def kept(self) -> DataFrame:
         """One row per identifier over all runs; merges each bucket's runs without an exchange."""
         m = self.spark.table(self.name).groupBy("id").agg(F.min(F.struct("rank", "row_id")).alias("m"))
@@ -70,7 +74,7 @@ class UpsertStore:
         name = f"upsert_{uuid.uuid4().hex[:12]}"
         path = scratch_path(self.spark, name)
         self._create(name, path)
-        self.kept().withColumn("run", F.lit(0)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(name)
+        self._write(self.kept().withColumn("run", F.lit(0)), name)
         self.name, self.path = name, path
         self.spark.sql(f"DROP TABLE {old_name}")
         drop_path(self.spark, old_path)

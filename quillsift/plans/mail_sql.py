@@ -168,8 +168,10 @@ CANON = lambda x: f"regexp_replace(translate(lower({x}), 'il1|053', 'llllose'),
 _BRANDS = ", ".join(f"'{b}'" for b in _BRAND_FORMS)
 _GRID = [(i * 10 + j, s, x) for i, s in enumerate(GRIDS["strength"]) for j, x in enumerate(GRIDS["unknown_prob"])]
 _THRESHOLDS = ", ".join(map(str, GRIDS["threshold"]))
-IMPORT = r"""SELECT {u} AS u, TRY_CAST(trim(regexp_extract({l}, '^([^,]*),', 1)) AS BIGINT) AS good, TRY_CAST(trim(regexp_extract({l}, '^[^,]*,([^,]*),', 1)) AS BIGINT) AS spam,
-  regexp_replace(regexp_replace(trim(regexp_extract({l}, '^[^,]*,[^,]*,[^,]*,(.*)$', 1, 's')), '^"', ''), '"$', '') AS token FROM {src} WHERE {l} IS NOT NULL AND regexp_matches({l}, '^[^,]*,[^,]*,[^,]*,')"""
+IMPORT = r"""SELECT {u} AS u, CASE WHEN regexp_full_match(trim(regexp_extract(l, '^([^,]*),', 1)), '[+]?[0-9]+') THEN TRY_CAST(trim(regexp_extract(l, '^([^,]*),', 1)) AS BIGINT) END AS good,
+  CASE WHEN regexp_full_match(trim(regexp_extract(l, '^[^,]*,([^,]*),', 1)), '[+]?[0-9]+') THEN TRY_CAST(trim(regexp_extract(l, '^[^,]*,([^,]*),', 1)) AS BIGINT) END AS spam,
+  regexp_replace(regexp_replace(trim(regexp_extract(l, '^[^,]*,[^,]*,[^,]*,(.*)$', 1, 's')), '^"', ''), '"$', '') AS token
+  FROM (SELECT *, regexp_replace({l}, '\r?\n?$', '') AS l FROM {src}) WHERE l IS NOT NULL AND regexp_matches(l, '^[^,]*,[^,]*,[^,]*,')"""
 MERGED = "SELECT u, token, CAST(least(sum(good), 9223372036854775807) AS BIGINT) AS good, CAST(least(sum(spam), 9223372036854775807) AS BIGINT) AS spam FROM i WHERE good >= 0 AND spam >= 0 AND token NOT IN ('', '__total__') GROUP BY u, token"
 EXPORT = f"""{STORED}, x AS (SELECT u, total_good || ',' || total_spam || ',0,"__total__"' AS line FROM totals
   UNION ALL SELECT u, good || ',' || spam || ',0,"' || token || '"' FROM model WHERE NOT regexp_matches(token, '["\\x00-\\x1f\\x7f]'))"""

@@ -16,6 +16,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path pattern names anything."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
 def read_folder(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """Raw messages of a folder (not of those below it); an absent folder is empty."""
     if not exists(spark, path):
@@ -25,10 +32,14 @@ def read_folder(spark: SparkSession, path: str, recursive: bool = False) -> Data
 
 def read_maildir(spark: SparkSession, root: str) -> DataFrame:
     """Messages of all ``cur`` folders below ``root`` with their ``folder``: INBOX or ``.Name``; trash is left out."""
-    df = read_folder(spark, root, recursive=True)
+    # folders are named by pattern: below a given path, names with a leading dot would be passed over
+    found = [p for p in (f"{root}/cur", f"{root}/.*/cur") if matches(spark, p)]
+    if not found:
+        return spark.createDataFrame([], MESSAGE_DDL).withColumn("folder", F.lit(None).cast("string"))
+    df = spark.read.format("binaryFile").load(found)
     sub = F.regexp_extract("path", r"/(\.[^/]+)/cur/[^/]*$", 1)
     folder = F.when(sub != "", sub).otherwise("INBOX")
-    return df.filter(F.col("path").rlike(r"/cur/[^/]+$")).withColumn("folder", folder).filter(F.lower("folder") != ".trash")
+    return df.withColumn("folder", folder).filter(F.lower("folder") != ".trash")
 
 
 def read_since(spark: SparkSession, path: str, cursor) -> DataFrame:
@@ -49,7 +60,7 @@ def sniff_msgid(content: Column) -> Column:
     """The Message-Id of the header block within the first bytes; folded lines are joined. NULL without one."""
     head = F.substring(content, 1, MSGID_BYTES)
     text = F.when(F.is_valid_utf8(head.cast("string")), head.cast("string"))
-    header = F.regexp_extract(F.regexp_replace(text, "\r", ""), r"(?s)^(.*?)(?:\n\n|$)", 1)
+    header = F.regexp_extract(F.concat(F.lit("\n"), F.regexp_replace(text, "\r", "")), r"(?s)^(.*?)(?:\n\n|$)", 1)
     found = F.regexp_extract(F.regexp_replace(header, r"\n[ \t]+", " "), r"(?im)^message-id:([^\n]*)", 1)
     return F.nullif(F.trim(found), F.lit(""))
 
