@@ -100,7 +100,7 @@ def classes(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = looked(tokens)
     # partial aggregation first: copies of a word are combined before they travel
     found = spark.sql(
-        """SELECT u, __key, min(struct(word RLIKE '[^ -~]' AS odd, word AS word)).word AS canonical
+        """SELECT u, __key, min(struct(word RLIKE '[^!-~]' AS odd, word AS word)).word AS canonical
            FROM {r} GROUP BY u, __key HAVING min(word) <> max(word)""",
         r=rows.select("u", "word", "__key"),
     )
@@ -129,7 +129,7 @@ def merged(tokens: DataFrame) -> DataFrame:
     known = F.when(F.col("word").rlike("^[!-~]+$"), F.col("word")).otherwise(look(F.col("word")))
     rows = spark.sql("SELECT *, __look COLLATE UNICODE AS __key FROM {r}", r=named.withColumn("__look", known))
     return spark.sql(
-        """SELECT u, min(struct(word RLIKE '[^ -~]' AS odd, word AS word)).word AS word, count(DISTINCT word) AS forms,
+        """SELECT u, min(struct(word RLIKE '[^!-~]' AS odd, word AS word)).word AS word, count(DISTINCT word) AS forms,
                   sum(coalesce(good, 0)) AS good, sum(coalesce(spam, 0)) AS spam, max(last_seen) AS last_seen
            FROM {r} GROUP BY u, __key""",
         r=rows,

@@ -64,7 +64,7 @@ def _sql() -> dict[str, str]:
     looks = _p1_looks()
     return {
         "p1_found": looks + "SELECT a.token_id AS token_id_a, b.token_id AS token_id_b FROM l a JOIN l b ON a.u = b.u AND a.k = b.k AND a.token_id < b.token_id AND a.word <> b.word",
-        "p1_merged": looks + """SELECT u, (min({'odd': CAST(regexp_matches(word, '[^ -~]') AS INT), 'word': word})).word AS word, count(DISTINCT word) AS forms,
+        "p1_merged": looks + """SELECT u, (min({'odd': CAST(regexp_matches(word, '[^!-~]') AS INT), 'word': word})).word AS word, count(DISTINCT word) AS forms,
             CAST(sum(coalesce(good, 0)) AS BIGINT) AS good, CAST(sum(coalesce(spam, 0)) AS BIGINT) AS spam, max(last_seen) AS last_seen FROM l GROUP BY u, k""",
     }
 

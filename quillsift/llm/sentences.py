@@ -42,6 +42,8 @@ ABBREVIATIONS = {
     "C": "cf vs viz esp incl excl resp bzw bspw vgl evtl ggf sog inkl zzgl zb dh ex ej ie eg i.e e.g z.b d.h u.a p.ex p.ej ee al",
     "E": "etc usw uvm co inc ltd bros corp jr sen. uu a.m p.m u.s u.k e.u u.s.a u.n am pm ggmbh",
 }
+# The months of a language that writes days as ordinals, with a stop behind the figure.
+MONTHS = set("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 _KIND = {w: k for k, ws in ABBREVIATIONS.items() for w in ws.split()}
 
 _STOP = ".!?…。！？｡．‼⁇⁈⁉؟۔।॥"
@@ -153,6 +155,8 @@ def tokens(text: str) -> list[Token]:
             cls = "PAIR"
         else:
             t = Token(a, b, None, {"N": "num", "U": "low", "S": "pun", "C": "pun", "O": "open"}.get(kind) or ("inv" if c in "¿¡" else "pun" if kind == "P" else _script(c)), _first_word(text, a, b) if kind == "W" else "")
+            if t.first == "Up" and t.word.lower() in MONTHS:
+                t.first, t.word = "mon", ""
             i += 1
             if kind == "D":
                 t.cls = (_KIND.get(text[a : b - 1].lower()) or "DOT") + "|."
@@ -172,6 +176,8 @@ def tokens(text: str) -> list[Token]:
     # where a boundary may be, by what is between the token and the next
     for t, nxt in zip(out, out[1:]):
         gap = text[t.end : nxt.start]
+        if t.cls == "NUM|." and nxt.first == "mon":
+            t.cls = "N|."  # the day in front of its month
         if t.cls is None:
             thai = _THAI.match(text[t.end - 1]) or _THAI.match(text[nxt.start])
             figure = text[t.end - 1].isnumeric() or text[nxt.start].isnumeric()
@@ -234,8 +240,8 @@ def _group(cls: str) -> str:
 
 
 def _key(before: str, cls: str) -> str:
-    """Quotes and brackets that begin a unit are another class than those inside one."""
-    return cls + "^" if cls in ("Q", "B") and before == "start" else cls
+    """Tokens that begin a unit are a class of their own: list numbers, initials, quotes and brackets."""
+    return cls + "^" if before == "start" else cls
 
 
 class Model:
@@ -244,7 +250,7 @@ class Model:
     def __init__(self, contexts: list[tuple], rounds: int = 6):
         """``contexts``: rows ``kind, before, cls, word, shape, n``; ``word`` is empty where the model doesn't know it."""
         events = [(b, c, w or s, n) for k, b, c, w, s, n in contexts if k == "e"]
-        self.shape = {w or s: s for *_, w, s, _ in contexts} | {s: s for s in ("low", "Up", "num", "open", "pun", "cjk", "th", "unc", "inv")}
+        self.shape = {w or s: s for *_, w, s, _ in contexts} | {s: s for s in ("low", "Up", "num", "open", "pun", "cjk", "th", "unc", "inv", "mon")}
         inside, everywhere = Counter(), Counter(dict.fromkeys(self.shape, 0.5))
         of_shape: Counter = Counter()
         for k, _, _, w, s, n in contexts:
@@ -280,14 +286,23 @@ class Model:
         self.start = {}
         for g, f in seed.items():
             n = sum(f.values()) + 1.0
-            by: Counter = Counter({s: e for s, e in even.items()})
+            by: Counter = Counter(even)
             for x, v in f.items():
                 by[self.shape[x]] += v
-            begin_shapes[g] = {s: v / n for s, v in by.items()}
+            begin_shapes[g] = {x: v / n for x, v in by.items()}
             self.start[g] = smooth(f, even, 100.0)
         self.chance: dict[tuple[str, str], float] = {}
         self.first: dict[str, dict[str, float]] = {}
         self.follow: dict[str, dict[str, float]] = {}
+        # to begin with, classes that all but surely end a unit, or don't, tell what follows a boundary, or none
+        own: dict[tuple[str, str], Counter] = {}
+        for b, c, x, n in events:
+            own.setdefault((b, c), Counter())[x] += n
+        for (b, c), f in own.items():
+            if _prior(b, c) < 0.1:
+                self.follow[_key(b, c)] = smooth(f, shapes, 100.0)
+            elif _prior(b, c) > 0.9:
+                self.first[_key(b, c)] = smooth({x: n for x, n in f.items() if self.shape[x] not in ("low", "pun")}, begin_shapes[_group(c)], 100.0)
         for _ in range(rounds):
             yes, no = Counter(), Counter()
             first: dict[str, Counter] = {}
@@ -366,7 +381,7 @@ class Model:
             mine = []
             for k in [*self.decide(ts), len(ts) - 1]:
                 if k >= at:
-                    if mine and not any(t.word or t.first in ("num", "open", "low", "Up") for t in ts[at : k + 1]):
+                    if mine and not any(t.word or t.first in ("num", "open", "low", "Up", "mon") for t in ts[at : k + 1]):
                         mine[-1] = (mine[-1][0], a + ts[k].end)
                     else:
                         mine.append((a + ts[at].start, a + ts[k].end))
