@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quillsift.operators.score import LEAST, chi2_survival, token_prob
 from quillsift.params import ScoreParams
-from quillsift.shared import materialize
+from quillsift.shared import group_index, materialize
 
 
 def confusion(scored: DataFrame, *keys: str) -> DataFrame:
@@ -37,13 +37,15 @@ def rates(c: DataFrame, fp_weight: float = 1.0) -> DataFrame:
 def nearest_rank(df: DataFrame, value: str, points: list[float], *keys: str) -> DataFrame:
     """``p``, ``value`` of each group at the place ``round((n - 1) * p)`` of the sorted values.
 
-    Ranks come from a window over the sorted rows, so no group is gathered into one array.
+    Equal values are counted together first, on the map side, so a group is no larger than its distinct values
+    (scores of six places: a million at most), however many rows it has.
     """
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = df.filter(F.col(value).isNotNull()).withColumn("__i", F.row_number().over(w.orderBy(value)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    g = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("__c"))
+    g = g.withColumn("__hi", F.sum("__c").over(w.orderBy("value"))).withColumn("__n", F.sum("__c").over(w))
     want = F.explode(F.array(*(F.lit(float(p)) for p in points)))
-    hit = ranked.select(*keys, F.col(value).alias("value"), "__i", "__n", want.alias("p"))
-    return hit.filter(F.col("__i") == F.round((F.col("__n") - 1) * F.col("p"))).select(*keys, "p", "value")
+    hit = g.select(*keys, "value", "__c", "__hi", "__n", want.alias("p")).withColumn("__at", F.round((F.col("__n") - 1) * F.col("p")))
+    return hit.filter((F.col("__at") < F.col("__hi")) & (F.col("__at") >= F.col("__hi") - F.col("__c"))).select(*keys, "p", "value")
 
 
 def bucket(score: Column, cells: int = 10) -> Column:
@@ -59,8 +61,7 @@ def stratified_split(df: DataFrame, label: str, order: str, holdout: float, *key
     """Add ``is_test``: every so manieth row of each class, in a fixed order; a class of one stays in training."""
     if holdout <= 0:
         return df.withColumn("is_test", F.lit(False))
-    w = Window.partitionBy(*keys, label)
-    d = df.withColumn("__i", F.row_number().over(w.orderBy(order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    d = group_index(df, [*keys, label], [order])
     test = F.least(F.greatest(F.round(F.col("__n") * holdout), F.lit(1)), F.col("__n") - 1)
     step = F.floor(F.col("__n") / F.greatest(test, F.lit(1)))
     is_test = (test > 0) & (F.col("__i") % step == 0) & (F.floor(F.col("__i") / step) < test)

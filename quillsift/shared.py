@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Identifiers longer than this many bytes are represented by their SHA-256, so that sort keys stay narrow.
 KEY_BYTES = 160
@@ -107,6 +108,28 @@ def readable_instant(c: Column) -> Column:
     )
 
 
+def group_index(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add ``__i`` (from 0) and ``__n``: a row's place in its group by unique ``order``, and the group's rows.
+
+    No group goes to one task: rows are range-partitioned by group and order, counted within each range, and the
+    counts of the ranges before are added.  The ranges are written first, so that both steps see the same ones.
+    """
+    spark = df.sparkSession
+    by = [F.col(c) for c in (*keys, *order)]
+    ranged = df.repartitionByRange(shuffle_width(spark), *by).withColumn("__p", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
+    own = Window.partitionBy("__p", *keys)
+    counts = ranged.groupBy("__p", *keys).agg(F.count(F.lit(1)).alias("__c"))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    # a row for each range and group
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(whole.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counts = counts.withColumn("__n", F.sum("__c").over(whole)).drop("__c")
+    counts = counts.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(["__p", *keys])), "__before", "__n")
+    same = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(["__p", *keys])]
+    placed = ranged.withColumn("__r", F.row_number().over(own.orderBy(*(F.col(c) for c in order)))).join(counts, same)
+    return placed.withColumn("__i", F.col("__before") + F.col("__r") - 1).drop("__p", "__r", "__before", *(f"__k{i}" for i in range(len(keys) + 1)))
+
+
 def spread_hint(df: DataFrame) -> DataFrame:
     """Spread the rows before a heavy step where the source has too few files to keep all cores busy.
 

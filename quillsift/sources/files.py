@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.operators.model import TOKENS_DDL, TOTALS_DDL
+from quillsift.shared import group_index
 
 MSGID_BYTES, SCORE_BYTES = 16_384, 8_192
 MESSAGE_DDL = "path string, modificationTime timestamp, length bigint, content binary"
@@ -117,13 +118,10 @@ class ModelStore:
 def read_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``file, line_no, line`` of text files; line numbers count within a file.
 
-    Numbers come from the byte order of each file's splits: a window per file over an increasing id.
+    Lines are numbered over a file's splits in byte order, without gathering a file.
     """
-    from pyspark.sql.window import Window
-
-    df = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("__i"), F.col("_metadata.file_block_start").alias("__b"), F.col("value").alias("line"))
-    w = Window.partitionBy("file").orderBy("__b", "__i")
-    return df.select("file", F.row_number().over(w).cast("bigint").alias("line_no"), "line")
+    df = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_block_start").alias("start"), F.col("value").alias("line"))
+    return group_index(df, ["file"], ["start", "at"]).select("file", (F.col("__i") + 1).alias("line_no"), "line")
 
 
 TRAIN_JSON = "type string, t string, u string, v string, sess string"

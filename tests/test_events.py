@@ -103,3 +103,11 @@ def test_json_lines(spark):
     ev = spark.createDataFrame([("t", "u", "SPAM", "0.5", "f", None, "s"), ("t", "u", "GOOD", "x", "f", "<m>", "s")], "t string, u string, verdict string, score string, folder string, msgid string, sess string")
     a, b = (r.line for r in S.event_json(ev).collect())
     assert '"score":0.5' in a and "msgid" not in a and '"score":"x"' in b
+
+
+def test_numbered_lines(spark, tmp_path):
+    (tmp_path / "a.log").write_text("\n".join(f"a{i}" for i in range(500)))
+    (tmp_path / "b.log").write_text("b0\n\nb2\n")
+    rows = S.read_lines(spark, [f"file://{tmp_path}/a.log", f"file://{tmp_path}/b.log"]).collect()
+    got = {(r.file[-5:], r.line_no): r.line for r in rows}
+    assert len(rows) == len(got) == 503 and got["a.log", 1] == "a0" and got["a.log", 500] == "a499" and got["b.log", 3] == "b2"
