@@ -26,7 +26,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Letters of other scripts and styles drawn like the plain letter in the same place below.
@@ -70,17 +70,21 @@ def tables() -> tuple[str, str, dict[str, str]]:
     return "".join(one) + "".join(gone), "".join(one.values()), several
 
 
-def look(word: Column) -> Column:
-    """What a word looks like, before the collation takes care of accents."""
+def with_look(df: DataFrame) -> DataFrame:
+    """Add ``__look``: what ``word`` looks like, before the collation takes care of accents.
+
+    Each step is a projection of its own, so that nothing is computed twice for a row.
+    """
     source, target, several = tables()
+    word = F.col("word")
     letters = F.map_from_arrays(F.split(F.lit("\x1f".join(several)), "\x1f"), F.split(F.lit("\x1f".join(several.values())), "\x1f"))
-    has = word.rlike("[" + "".join(several) + "]")
+    has = F.translate(word, "".join(several), "") != word
     wide = F.array_join(F.transform(F.split(word, ""), lambda c: F.coalesce(F.try_element_at(letters, c), c)), "")
-    mapped = F.translate(F.when(has, wide).otherwise(word), source, target)
+    df = df.withColumn("__mapped", F.translate(F.when(has, wide).otherwise(word), source, target))
+    df = df.withColumn("__prefix", F.regexp_extract("__mapped", "^ *((?:b|u|h:[^: ]+):)", 1))
     # blanks at the ends of the part behind the prefix
-    prefix = F.regexp_extract(mapped, "^ *((?:b|u|h:[^: ]+):)", 1)
-    rest = F.when(prefix != "", F.regexp_replace(mapped, "^ *(?:b|u|h:[^: ]+):", "")).otherwise(mapped)
-    return F.concat(prefix, F.trim(rest))
+    rest = F.when(F.col("__prefix") != "", F.regexp_replace("__mapped", "^ *(?:b|u|h:[^: ]+):", "")).otherwise(F.col("__mapped"))
+    return df.withColumn("__look", F.concat("__prefix", F.trim(rest))).drop("__mapped", "__prefix")
 
 
 def looked(tokens: DataFrame) -> DataFrame:
@@ -88,7 +92,7 @@ def looked(tokens: DataFrame) -> DataFrame:
     spark = tokens.sparkSession
     named = tokens.filter(F.col("u").isNotNull() & F.col("word").isNotNull())
     plain = F.col("word").rlike("^[!-~]+$")
-    odd = named.filter(~plain).withColumn("__look", look(F.col("word")))
+    odd = with_look(named.filter(~plain))
     wanted = odd.select("u", F.col("__look").alias("word")).distinct()
     doubles = named.filter(plain).join(wanted, ["u", "word"], "left_semi").withColumn("__look", F.col("word"))
     return spark.sql("SELECT *, __look COLLATE UNICODE AS __key FROM {r}", r=odd.unionByName(doubles)).drop("__look")
@@ -126,8 +130,9 @@ def merged(tokens: DataFrame) -> DataFrame:
     """One row per owner and visible word: the canonical word, its forms and the counts together."""
     spark = tokens.sparkSession
     named = tokens.select("u", "word", "good", "spam", "last_seen").filter(F.col("u").isNotNull() & F.col("word").isNotNull())
-    known = F.when(F.col("word").rlike("^[!-~]+$"), F.col("word")).otherwise(look(F.col("word")))
-    rows = spark.sql("SELECT *, __look COLLATE UNICODE AS __key FROM {r}", r=named.withColumn("__look", known))
+    plain = F.col("word").rlike("^[!-~]+$")
+    known = named.filter(plain).withColumn("__look", F.col("word")).unionByName(with_look(named.filter(~plain)))
+    rows = spark.sql("SELECT *, __look COLLATE UNICODE AS __key FROM {r}", r=known)
     return spark.sql(
         """SELECT u, min(struct(word RLIKE '[^!-~]' AS odd, word AS word)).word AS word, count(DISTINCT word) AS forms,
                   sum(coalesce(good, 0)) AS good, sum(coalesce(spam, 0)) AS spam, max(last_seen) AS last_seen
