@@ -133,13 +133,41 @@ def _items(items: DataFrame) -> list[tuple[int, list[str], int]]:
     return out
 
 
-def _lookup(pdf: pd.DataFrame, items, counts: dict[str, int]) -> pd.DataFrame:
-    """The matches of one shard: runs of consecutive terms of an item in a document."""
+def _open(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """A shard's first positions and ids of documents, and the posting lists of its test terms."""
     lists = {t: p for t, p in zip(pdf["term"], pdf["positions"])}
     table = np.asarray(lists.pop("", np.zeros(0, np.int32)), np.int32).view(np.uint32).astype(np.int64)
     n = len(table) // 3
-    starts, docs = table[:n], (table[n : 2 * n].astype(np.uint32).view(np.int32).astype(np.int64) << 32) | table[2 * n :]
-    lists = {t: np.asarray(p, np.int64) for t, p in lists.items()}
+    docs = (table[n : 2 * n].astype(np.uint32).view(np.int32).astype(np.int64) << 32) | table[2 * n :]
+    return table[:n], docs, {t: np.asarray(p, np.int64) for t, p in lists.items()}
+
+
+def _near(pdf: pd.DataFrame, items, counts: dict[str, int]) -> pd.DataFrame:
+    """Proximity matches of one shard: all terms of a window, in any order, within its width of the rarest one."""
+    starts, docs, lists = _open(pdf)
+    found = []
+    for item, terms, width in items:
+        for i in {*range(0, len(terms) - width + 1, width), len(terms) - width}:
+            window = sorted(set(terms[i : i + width]), key=lambda t: (len(lists.get(t, ())), counts.get(t, 0)))
+            at = lists.get(window[0])
+            for t in window[1:]:
+                if at is None or not len(at):
+                    break
+                other = lists[t]
+                k = np.searchsorted(other, at)
+                after, before = other[np.minimum(k, len(other) - 1)], other[np.maximum(k - 1, 0)]
+                at = at[np.minimum(np.abs(after - at), np.abs(before - at)) <= width]
+            if at is not None and len(at):
+                which = np.unique(np.searchsorted(starts, at, side="right") - 1)
+                found.append(pd.DataFrame({"item_id": item, "doc_id": docs[which]}))
+    if not found:
+        return pd.DataFrame({"item_id": [], "doc_id": [], "windows": []}).astype("int64")
+    return pd.concat(found).groupby(["item_id", "doc_id"], as_index=False).size().rename(columns={"size": "windows"})
+
+
+def _lookup(pdf: pd.DataFrame, items, counts: dict[str, int]) -> pd.DataFrame:
+    """The matches of one shard: runs of consecutive terms of an item in a document."""
+    starts, docs, lists = _open(pdf)
     found = []
     for item, terms, width in items:
         here = np.array([t in lists for t in terms])
@@ -180,15 +208,12 @@ def _lookup(pdf: pd.DataFrame, items, counts: dict[str, int]) -> pd.DataFrame:
     return runs.groupby(["item_id", "doc_id"], as_index=False).agg(runs=("run", "size"), longest=("length", "max"))
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """``item_id, doc_id, runs, longest``: every document with passages of an item.
-
-    ``longest`` counts consecutive words, or characters for items in scripts without blanks.
-    """
+def _search(documents: DataFrame, items: DataFrame, look, ddl: str) -> DataFrame:
+    """Index the documents and look the items up in every shard."""
     spark = documents.sparkSession
     wanted = _items(items)
     if not wanted:
-        return spark.createDataFrame([], "item_id bigint, doc_id bigint, runs bigint, longest bigint")
+        return spark.createDataFrame([], ddl)
     # a window of characters without ideograph or kana could be in any document
     latin = any(
         w == CHARACTERS and not any(_IDEOGRAPH.search(c) for c in t[i : i + w]) for _, t, w in wanted for i in range(len(t) - w + 1)
@@ -202,9 +227,24 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     counts = {r[0]: r[1] for r in lists.groupBy("term").agg(F.sum(F.size("positions")).cast("bigint")).collect()}
     shared = spark.sparkContext.broadcast((wanted, counts))
 
-    def look(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _lookup(pdf, *shared.value)
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        return look(pdf, *shared.value)
 
-    per_shard = lists.groupBy("shard").applyInPandas(look, "item_id bigint, doc_id bigint, runs bigint, longest bigint")
+    return lists.groupBy("shard").applyInPandas(each, ddl)
+
+
+def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """``item_id, doc_id, runs, longest``: every document with passages of an item.
+
+    ``longest`` counts consecutive words, or characters for items in scripts without blanks.
+    """
+    per_shard = _search(documents, items, _lookup, "item_id bigint, doc_id bigint, runs bigint, longest bigint")
     # a document's words and characters are in one shard, so each pair comes once for each stream
     return per_shard.groupBy("item_id", "doc_id").agg(F.sum("runs").alias("runs"), F.max("longest").alias("longest"))
+
+
+def near(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """``item_id, doc_id, windows``: proximity matches, by how many of the item's windows (side by side, and the last
+    one) have all their terms close together in a document, in whatever order."""
+    per_shard = _search(documents, items, _near, "item_id bigint, doc_id bigint, windows bigint")
+    return per_shard.groupBy("item_id", "doc_id").agg(F.sum("windows").alias("windows"))

@@ -30,6 +30,10 @@ def p7_leaks(spark, d):
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+def p7_near(spark, d):
+    return leakage.near(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
 def p8_found(spark, d):
     return sentences.sentences(table(spark, d, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p7_near": p7_near,
     "p8_found": p8_found,
 }
 

@@ -104,11 +104,39 @@ def _stop_class(s: str) -> str:
     return "." if s[0] == "." else "。"
 
 
+#: What a token of a kind is for the model, where its first character doesn't matter.
+_FIRST = {"N": "num", "U": "low", "S": "pun", "C": "pun", "O": "open"}
+
+
 class Token:
-    __slots__ = ("start", "end", "cls", "first", "word")
+    """A token of a block. What the model sees of it is worked out only where it asks."""
+
+    __slots__ = ("start", "end", "cls", "kind", "text", "stop")
+
+    def __init__(self, start: int, end: int, cls: str | None, kind: str, text: str):
+        self.start, self.end, self.cls, self.kind, self.text, self.stop = start, end, cls, kind, text, end
 
-    def __init__(self, start: int, end: int, cls: str | None, first: str, word: str):
-        self.start, self.end, self.cls, self.first, self.word = start, end, cls, first, word
+    @property
+    def month(self) -> bool:
+        return self.kind == "W" and self.text[self.start : self.stop].lower() in MONTHS
+
+    @property
+    def first(self) -> str:
+        known = _FIRST.get(self.kind)
+        if known:
+            return known
+        c = self.text[self.start]
+        if self.kind == "P":
+            return "inv" if c in "¿¡" else "pun"
+        shape = _script(c)
+        return "mon" if shape == "Up" and self.month else shape
+
+    @property
+    def word(self) -> str:
+        if self.kind != "W":
+            return ""
+        w = _first_word(self.text, self.start, self.stop)
+        return "" if w.lower() in MONTHS and _script(w[0]) == "Up" else w
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -145,28 +173,23 @@ def tokens(text: str) -> list[Token]:
     i, n = 0, len(raw)
     while i < n:
         kind, a, b = raw[i]
-        c = text[a]
         if i in match:
             j = match[i]
             inner = raw[j - 1][0]
             ends = j > i + 1 and (inner in "SD" or (inner == "C" and raw[j - 2][0] in "SD"))
-            t = Token(a, raw[j][2], ("Q" if c in _QUOTES else "B") if ends else None, "open", "")
+            t = Token(a, raw[j][2], ("Q" if text[a] in _QUOTES else "B") if ends else None, "O", text)
             i = j + 1
-            cls = "PAIR"
         else:
-            t = Token(a, b, None, {"N": "num", "U": "low", "S": "pun", "C": "pun", "O": "open"}.get(kind) or ("inv" if c in "¿¡" else "pun" if kind == "P" else _script(c)), _first_word(text, a, b) if kind == "W" else "")
-            if t.first == "Up" and t.word.lower() in MONTHS:
-                t.first, t.word = "mon", ""
+            t = Token(a, b, None, kind, text)
             i += 1
             if kind == "D":
                 t.cls = (_KIND.get(text[a : b - 1].lower()) or "DOT") + "|."
-            cls = "∅" if kind == "S" else _word_class(kind, text[a:b].rstrip(".")) if kind != "D" else t.cls[:-2]
-            if kind == "S":
+            elif kind == "S":
                 t.cls = "∅|" + _stop_class(text[a:b])
         # a stop goes with the token before it, whatever blank is between
         if i < n and raw[i][0] == "S" and kind != "S":
-            s = text[raw[i][1] : raw[i][2]]
-            t.cls, t.end = f"{cls}|{_stop_class(s)}", raw[i][2]
+            cls = "PAIR" if t.kind == "O" and t.end > b else t.cls[:-2] if kind == "D" else _word_class(kind, text[a:b])
+            t.cls, t.end = f"{cls}|{_stop_class(text[raw[i][1] : raw[i][2]])}", raw[i][2]
             i += 1
         # so do closing marks without their opening ones
         while t.cls and i < n and raw[i][0] == "C" and raw[i][1] == t.end:
@@ -174,14 +197,19 @@ def tokens(text: str) -> list[Token]:
             i += 1
         out.append(t)
     # where a boundary may be, by what is between the token and the next
-    for t, nxt in zip(out, out[1:]):
+    thai = _THAI.search(text) is not None
+    for k in range(len(out) - 1):
+        t = out[k]
+        if t.cls is None and not thai:
+            continue
+        nxt = out[k + 1]
         gap = text[t.end : nxt.start]
         if t.cls == "NUM|." and nxt.first == "mon":
             t.cls = "N|."  # the day in front of its month
         if t.cls is None:
-            thai = _THAI.match(text[t.end - 1]) or _THAI.match(text[nxt.start])
+            beside = _THAI.match(text[t.end - 1]) or _THAI.match(text[nxt.start])
             figure = text[t.end - 1].isnumeric() or text[nxt.start].isnumeric()
-            if gap and thai and not figure and not regex.search(r"[\r\n]", gap):
+            if gap and beside and not figure and not regex.search(r"[\r\n]", gap):
                 t.cls = "th|_"
         elif not gap:
             stop = t.cls.rpartition("|")[2]

@@ -43,3 +43,22 @@ def test_leaks(spark):
 def test_empty(spark):
     d, i = frames(spark)
     assert leakage.leaks(d.limit(0), i).count() == 0 and leakage.leaks(d, i.limit(0)).count() == 0
+
+
+def test_near(spark):
+    d, i = frames(spark)
+    got = {(r.item_id, r.doc_id): r.windows for r in leakage.near(d, i).collect()}
+    items = {x[0]: x for x in ITEMS}
+    want: dict = {}
+    for item, text, lang, _ in items.values():
+        cut, w = (leakage.characters, 20) if lang in ("zh", "ja") else (leakage.words, 12)
+        terms = cut(text or "")
+        for k in {*range(0, len(terms) - w + 1, w), len(terms) - w} if len(terms) >= w else ():
+            window = set(terms[k : k + w])
+            for doc, t in DOCS:
+                have = cut(t or "")
+                where = {x: [p for p, y in enumerate(have) if y == x] for x in window}
+                rare = min(window, key=lambda x: len(where[x]))
+                if doc != 13 and any(all(any(abs(p - q) <= w for q in where[x]) for x in window) for p in where[rare]):
+                    want[item, doc] = want.get((item, doc), 0) + 1
+    assert {k: v for k, v in got.items() if k[1] != 13} == want and got[1, 8] == 3 and got[1, 13] == 3
