@@ -93,7 +93,7 @@ def _word_class(kind: str, text: str) -> str:
 
 def _first_word(text: str, a: int, b: int) -> str:
     """A word as the model may know it: of a run without blanks, the first characters."""
-    return text[a : a + 2] if _CJK.match(text[a]) else text[a : min(b, a + 4)] if _THAI.match(text[a]) else text[a:b]
+    return text[a : min(b, a + 2)] if _CJK.match(text[a]) else text[a : min(b, a + 4)] if _THAI.match(text[a]) else text[a:b]
 
 
 def _stop_class(s: str) -> str:
@@ -223,24 +223,29 @@ def tokens(text: str) -> list[Token]:
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of the contexts of all gaps: ``kind`` e (a boundary may be) or b (it can't)."""
     counts: Counter = Counter()
+    inside: Counter = Counter()  # tokens that no boundary can precede, by kind and text
     for pdf in batches:
         for text in pdf["text"]:
             if not text:
                 continue
             for a, b in blocks(text):
-                ts = tokens(text[a:b])
+                block = text[a:b]
+                ts = tokens(block)
                 for k, (t, nxt) in enumerate(zip(ts, ts[1:])):
                     if t.cls is None:
-                        counts["b", "", "", nxt.word, nxt.first] += 1
+                        inside[nxt.kind, block[nxt.start : nxt.stop] if nxt.kind in "WDP" else ""] += 1
                     elif k == 0 or ts[k - 1].cls is None:
                         counts["e", "start" if k == 0 else "none", t.cls, nxt.word, nxt.first] += 1
-        if len(counts) > 100_000:
-            yield _counted(counts)
-            counts = Counter()
-    yield _counted(counts)
+        if len(counts) + len(inside) > 100_000:
+            yield _counted(counts, inside)
+            counts, inside = Counter(), Counter()
+    yield _counted(counts, inside)
 
 
-def _counted(counts: Counter) -> pd.DataFrame:
+def _counted(counts: Counter, inside: Counter) -> pd.DataFrame:
+    for (kind, text), n in inside.items():
+        t = Token(0, len(text), None, kind, text)
+        counts["b", "", "", t.word, t.first] += n
     return pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "before", "cls", "word", "shape", "n"])
 
 
