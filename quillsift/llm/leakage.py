@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -142,22 +143,25 @@ def _open(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarr
     return table[:n], docs, {t: np.asarray(p, np.int64) for t, p in lists.items()}
 
 
-def _near(pdf: pd.DataFrame, items, counts: dict[str, int]) -> pd.DataFrame:
+def _near(pdf: pd.DataFrame, items, counts: dict[str, int], step: int | None = None) -> pd.DataFrame:
     """Proximity matches of one shard: all terms of a window, in any order, within its width of the rarest one."""
     starts, docs, lists = _open(pdf)
     found = []
     for item, terms, width in items:
-        for i in {*range(0, len(terms) - width + 1, width), len(terms) - width}:
-            window = sorted(set(terms[i : i + width]), key=lambda t: (len(lists.get(t, ())), counts.get(t, 0)))
-            at = lists.get(window[0])
+        absent = np.concatenate([[0], np.cumsum([t not in lists for t in terms])])
+        for i in sorted({*range(0, len(terms) - width + 1, step or width), len(terms) - width}):
+            if absent[i + width] > absent[i]:
+                continue
+            window = sorted(set(terms[i : i + width]), key=lambda t: (len(lists[t]), counts.get(t, 0)))
+            at = lists[window[0]]
             for t in window[1:]:
-                if at is None or not len(at):
+                if not len(at):
                     break
                 other = lists[t]
                 k = np.searchsorted(other, at)
                 after, before = other[np.minimum(k, len(other) - 1)], other[np.maximum(k - 1, 0)]
                 at = at[np.minimum(np.abs(after - at), np.abs(before - at)) <= width]
-            if at is not None and len(at):
+            if len(at):
                 which = np.unique(np.searchsorted(starts, at, side="right") - 1)
                 found.append(pd.DataFrame({"item_id": item, "doc_id": docs[which]}))
     if not found:
@@ -243,8 +247,11 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     return per_shard.groupBy("item_id", "doc_id").agg(F.sum("runs").alias("runs"), F.max("longest").alias("longest"))
 
 
-def near(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """``item_id, doc_id, windows``: proximity matches, by how many of the item's windows (side by side, and the last
-    one) have all their terms close together in a document, in whatever order."""
-    per_shard = _search(documents, items, _near, "item_id bigint, doc_id bigint, windows bigint")
+def near(documents: DataFrame, items: DataFrame, step: int | None = None) -> DataFrame:
+    """``item_id, doc_id, windows``: proximity matches, by how many of the item's windows have all their terms close
+    together in a document, in whatever order.
+
+    Windows begin every ``step`` terms, and the last one is always among them: 1 tries every window, as ``leaks`` does;
+    without it they stand side by side, and passages that cover none of these are not found."""
+    per_shard = _search(documents, items, partial(_near, step=step), "item_id bigint, doc_id bigint, windows bigint")
     return per_shard.groupBy("item_id", "doc_id").agg(F.sum("windows").alias("windows"))

@@ -62,3 +62,16 @@ def test_near(spark):
                 if doc != 13 and any(all(any(abs(p - q) <= w for q in where[x]) for x in window) for p in where[rare]):
                     want[item, doc] = want.get((item, doc), 0) + 1
     assert {k: v for k, v in got.items() if k[1] != 13} == want and got[1, 8] == 3 and got[1, 13] == 3
+
+
+def test_near_every_window(spark):
+    """Passages that cover none of the windows side by side are found, in and out of order."""
+    d, i = frames(spark)
+    odd = spark.createDataFrame([(20, "x " + " ".join(reversed(W[5:17])) + " y")], "doc_id bigint, text string")
+    d = d.select("doc_id", "text").unionByName(odd)
+    got = {(r.item_id, r.doc_id): r.windows for r in leakage.near(d, i, step=1).collect()}
+    assert got[1, 1] == got[1, 12] == got[1, 20] == 1 and got[1, 8] == got[1, 13] == 19 and (1, 2) not in got
+    exact = {(r.item_id, r.doc_id) for r in leakage.leaks(d, i).collect()}
+    assert exact <= set(got)
+    aligned = {(r.item_id, r.doc_id) for r in leakage.near(d, i).collect()}
+    assert aligned <= set(got) and not {(1, 1), (1, 12), (1, 20)} & aligned
