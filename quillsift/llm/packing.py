@@ -3,7 +3,7 @@
 Lexical retrieval packing.  Texts are measured and described in tokens of a public tokenizer; document
 frequencies are counted over all documents (as many counters as the tokenizer has tokens).  Documents are
 sharded by a hash of their id.  Each shard has a BM25 inverted index over its texts: for the largest unused
-text as the seed, the index returns the unused neighbours by score, which greedily fill the seed's
+text as the seed, all its terms ask the index, which returns the unused neighbours by score, which greedily fill the seed's
 container; what space is left takes the largest texts that still fit.  Containers that a shard cannot fill
 are opened again and packed with those of other shards, in a second and a third round over ever fewer texts.
 
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from quillsift.llm.texts import spread
 from quillsift.shared import materialize
 
-#: Documents of a shard on average; terms of a text that ask the index; below this fill a container is opened again.
-SHARD_DOCS, ASKING_TERMS, FULL = 3_000, 16, 0.985
+#: Documents of a shard on average; below this fill a container is opened again; a term has a row of weights if more
+#: than one in so many texts has it.
+SHARD_DOCS, FULL, COMMON = 3_000, 0.985, 16
 K1, B = 1.2, 0.75
 #: Kinds of containers at most: they come to the driver.
 MAX_KINDS = 1_000
@@ -110,11 +111,31 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray],
     n = len(sizes)
     if not n:
         return []
-    # the inverted index: postings by term
-    at = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
-    term, weight = np.concatenate(terms), np.concatenate(weights)
-    order = np.argsort(term, kind="stable")
-    at, term, weight = at[order], term[order], weight[order]
+    # the inverted index: postings by term, and rows of weights for the terms that many texts have
+    ends = np.cumsum([0, *map(len, terms)])
+    at = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))
+    vocabulary, code = np.unique(np.concatenate(terms), return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    weight, at = np.concatenate(weights)[order], at[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(vocabulary)))])
+    held = np.diff(first)
+    common = np.flatnonzero(held * COMMON > n)
+    row = np.full(len(vocabulary), -1)
+    row[common] = np.arange(len(common))
+    dense = np.zeros((len(common), n), np.float32)
+    for r, (lo, hi) in enumerate(zip(first[common].tolist(), first[common + 1].tolist())):
+        dense[r, at[lo:hi]] = weight[lo:hi]
+
+    def scores(seed: int) -> np.ndarray:
+        """BM25 of all texts for all terms of the seed."""
+        asking = code[ends[seed] : ends[seed + 1]]
+        total = dense[row[asking[row[asking] >= 0]]].sum(axis=0)
+        rare = asking[(row[asking] < 0) & (held[asking] > 1)]
+        if len(rare):
+            parts = [slice(lo, hi) for lo, hi in zip(first[rare].tolist(), first[rare + 1].tolist())]
+            total += np.bincount(np.concatenate([at[x] for x in parts]), np.concatenate([weight[x] for x in parts]), n)
+        return total
+
     unused = np.ones(n, bool)
     by_size = np.lexsort((np.arange(n), sizes))
     sorted_sizes = sizes[by_size]
@@ -137,11 +158,7 @@ def fill(sizes: np.ndarray, terms: list[np.ndarray], weights: list[np.ndarray],
         unused[seed] = False
         box, left = [int(seed)], capacity - int(sizes[seed])
         if left >= sorted_sizes[0]:
-            asking = terms[seed][:ASKING_TERMS]
-            lo, hi = np.searchsorted(term, asking), np.searchsorted(term, asking, side="right")
-            score = np.zeros(n, np.float32)
-            for a, b in zip(lo.tolist(), hi.tolist()):
-                score[at[a:b]] += weight[a:b]
+            score = scores(seed)
             near = np.flatnonzero((score > 0) & unused & (sizes <= left))
             for k in near[np.argsort(-score[near], kind="stable")].tolist():
                 if sizes[k] <= left:

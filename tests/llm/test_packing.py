@@ -37,3 +37,28 @@ def test_neighbours_go_together():
     terms = [np.array([i % 3], np.int32) for i in range(30)]
     boxes = packing.fill(np.full(30, 10), terms, [np.ones(1, np.float32)] * 30, 100)
     assert len(boxes) == 3 and all(len({i % 3 for i in b}) == 1 for b in boxes)
+
+
+def test_all_terms_of_a_seed_ask():
+    """A neighbour that shares only the seed's lightest terms goes before one that shares none, whatever its place."""
+    import numpy as np
+
+    seed = np.arange(40, dtype=np.int32)
+    for shared in (39, 20):
+        terms = [seed, *(np.array([100 + i], np.int32) for i in range(20)), np.array([shared], np.int32)]
+        weights = [np.linspace(9, 1, 40, dtype=np.float32), *([np.ones(1, np.float32)] * 21)]
+        boxes = packing.fill(np.array([50, *[10] * 21]), terms, weights, 60)
+        assert sorted(next(b for b in boxes if 0 in b)) == [0, 21]
+
+
+def test_scores_are_whole():
+    """Neighbours come in the order of the sum of the weights over all shared terms, common and rare ones."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    terms = [np.sort(rng.choice(200, 60, replace=False, p=(w := 1 / np.arange(1, 201)) / w.sum())).astype(np.int32) for _ in range(80)]
+    weights = [rng.random(60).astype(np.float32) for _ in range(80)]
+    sizes = np.array([100, *[10] * 79])
+    box = packing.fill(sizes, terms, weights, 300)[0]
+    score = [w[np.isin(t, terms[0])].sum() for t, w in zip(terms[1:], weights[1:])]
+    assert box == [0, *(1 + np.argsort(-np.array(score), kind="stable")[:20])]
