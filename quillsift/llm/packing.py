@@ -2,10 +2,11 @@
 
 Lexical retrieval packing.  Texts are measured and described in tokens of a public tokenizer; document
 frequencies are counted over all documents (as many counters as the tokenizer has tokens).  Documents are
-sharded by a hash of their id.  Each shard has a BM25 inverted index over its texts: for the largest unused
-text as the seed, all its terms ask the index, which returns the unused neighbours by score, which greedily fill the seed's
-container; what space is left takes the largest texts that still fit.  Containers that a shard cannot fill
-are opened again and packed with those of other shards, in a second and a third round over ever fewer texts.
+sharded by a hash of their id; neighbours in other shards are not found (the README has the share).  Each
+shard has a BM25 inverted index over its texts: for the largest unused text as the seed, all its terms ask
+the index, which returns the unused neighbours by score, which greedily fill the seed's container; what
+space is left takes the largest texts that still fit.  Containers that a shard cannot fill are opened again
+and packed with those of other shards, in a second and a third round over ever fewer texts.
 
 A text is split only if it alone exceeds the capacity: into full containers and a rest, which is packed like
 any other text.
