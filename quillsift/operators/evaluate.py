@@ -116,17 +116,20 @@ def tune(data: DataFrame, totals: DataFrame, fp_weight: float = 1.0, rounds: int
     """The best parameters of each owner by coordinate descent, all owners in the same jobs.
 
     One job per knob and round. An owner's parameters change only for a strictly smaller weighted error; of equal
-    candidates the first one tried stays.
+    candidates the first one tried stays. Further rounds try only the owners whom the round before improved.
     """
     base = ScoreParams()
     start = totals.select("u", *(F.lit(getattr(base, k)).alias(k) for k in KNOBS))
     kept = rates(_score_candidates(data, start.withColumn("cand", F.lit(0)), totals), fp_weight)
     state = materialize(start.join(kept.select("u", F.col("weighted_error").alias("best"), "fp", "fn", "tp", "tn"), "u"), "tune")
+    moved = None
     for _ in range(rounds):
+        begin = state.select("u", F.col("best").alias("__begin"))
         for knob, values in GRIDS.items():
             kind = dict(start.dtypes)[knob]
             tried = F.posexplode(F.array(*(F.lit(v).cast(kind) for v in values))).alias("cand", "__v")
-            cands = state.drop("best", "fp", "fn", "tp", "tn").select("*", tried).withColumn(knob, F.col("__v")).drop("__v")
+            trying = state if moved is None else state.join(moved, "u", "left_semi")
+            cands = trying.drop("best", "fp", "fn", "tp", "tn").select("*", tried).withColumn(knob, F.col("__v")).drop("__v")
             got = rates(_score_candidates(data, cands, totals), fp_weight).withColumn("err", F.round("weighted_error", 12))
             first = got.groupBy("u").agg(F.min(F.struct("err", "cand", "fp", "fn", "tp", "tn")).alias("m"))
             new = state.join(first, "u", "left")
@@ -135,15 +138,40 @@ def tune(data: DataFrame, totals: DataFrame, fp_weight: float = 1.0, rounds: int
             cols = {knob: F.when(better, value).otherwise(F.col(knob)), "best": F.when(better, F.col("m.err")).otherwise(F.col("best"))}
             cols |= {c: F.when(better, F.col(f"m.{c}")).otherwise(F.col(c)) for c in ("fp", "fn", "tp", "tn")}
             state = materialize(new.withColumns(cols).drop("m"), "tune")
+        moved = materialize(state.join(begin, "u").filter("best < __begin").select("u"), "moved")
+        if moved.isEmpty():
+            break
     return state
 
 
-def write_gate(baseline: DataFrame, tuned: DataFrame, min_spam: int = 50) -> DataFrame:
+def held_out(data: DataFrame, params: DataFrame, totals: DataFrame) -> DataFrame:
+    """``u, fp, fn, tp, tn`` of every owner's row of ``params``; owners without messages have none wrong or right."""
+    got = _score_candidates(data, params.select("u", *KNOBS, F.lit(0).alias("cand")), totals).drop("cand")
+    return params.select("u").join(got, "u", "left").fillna(0, ["fp", "fn", "tp", "tn"])
+
+
+#: Share held out by the query; threshold that owners run with until parameters are written.
+HOLDOUT, RUNNING_THRESHOLD = 0.2, 0.6
+
+
+def tune_gated(data: DataFrame, split: DataFrame, totals: DataFrame, fp_weight: float = 1.0, min_spam: int = 50) -> DataFrame:
+    """The parameters found on each owner's training part, with their counts on the held-out part (``test_``) and
+    whether they may replace the running ones. ``split`` has ``msg_id, is_test``."""
+    parts = materialize(data.join(split.select("msg_id", "is_test"), "msg_id"), "parts")
+    best = tune(parts.filter("not is_test").drop("is_test"), totals, fp_weight)
+    test = parts.filter("is_test").drop("is_test")
+    base = ScoreParams(threshold=RUNNING_THRESHOLD)
+    tuned = held_out(test, best, totals)
+    gate = write_gate(held_out(test, best.select("u", *(F.lit(getattr(base, k)).alias(k) for k in KNOBS)), totals), tuned, min_spam, fp_weight)
+    return best.join(tuned.withColumnsRenamed({c: f"test_{c}" for c in ("fp", "fn", "tp", "tn")}), "u").join(gate, "u")
+
+
+def write_gate(baseline: DataFrame, tuned: DataFrame, min_spam: int = 50, fp_weight: float = 1.0) -> DataFrame:
     """Whether tuned parameters may replace an owner's, from confusion counts on the held-out part, and why not.
 
     Refused, in this order: too little spam to judge by, more false positives, no gain.
     """
-    b, t = rates(baseline).alias("b"), rates(tuned).alias("t")
+    b, t = rates(baseline, fp_weight).alias("b"), rates(tuned, fp_weight).alias("t")
     j = b.join(t, "u")
     spam = F.col("t.fn") + F.col("t.tp")
     reason = (

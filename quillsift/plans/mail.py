@@ -279,8 +279,9 @@ def params_grid(spark, d):
 
 def tune_per_user(spark, d):
     t, model, totals = trained(spark, d)
-    data = materialize(EV.samples(t, labels(spark, d), model), "samples")
-    return EV.tune(data, totals, rounds=1)
+    owned = labels(spark, d).join(messages(spark, d), "msg_id")
+    split = EV.stratified_split(owned.select("u", "msg_id", "is_spam"), "is_spam", "msg_id", EV.HOLDOUT, "u")
+    return EV.tune_gated(EV.samples(t, labels(spark, d), model), split, totals)
 
 
 def _by_label(spark, d, p, name):

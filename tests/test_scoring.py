@@ -127,6 +127,41 @@ def test_tune_and_gate(spark):
     assert {r.u: r.refused for r in gate.collect()} == {"a": None, "b": "fp", "c": "spam", "d": "no gain"}
 
 
+def test_tune_rounds(spark, monkeypatch):
+    """A second round finds what only a later knob's change made possible, and rounds end once nothing improves."""
+    start = ScoreParams()
+    tried = []
+
+    def score(data, cands, totals):  # fewer errors for strength 0.3, but only with another min_word_count
+        tried.append(1)
+        fp = F.when(F.col("min_word_count") == 5, F.when(F.col("strength") == 0.3, 10).otherwise(20)).otherwise(30)
+        return cands.select("u", "cand", fp.cast("bigint").alias("fp"), F.lit(0).cast("bigint").alias("fn"), F.lit(50).cast("bigint").alias("tp"), (50 - fp).cast("bigint").alias("tn"))
+
+    assert start.min_word_count != 5 and start.strength != 0.3
+    monkeypatch.setattr(EV, "_score_candidates", score)
+    tot = spark.createDataFrame([("a", 20, 20)], TOT)
+    one = EV.tune(None, tot, rounds=1).first()
+    tried.clear()
+    got = EV.tune(None, tot, rounds=9).first()
+    assert (one.min_word_count, one.strength, one.fp) == (5, start.strength, 20) and (got.min_word_count, got.strength, got.fp) == (5, 0.3, 10)
+    assert len(tried) == 1 + 3 * len(EV.KNOBS)
+
+
+def test_tune_per_user_is_gated(spark, data):
+    from quillsift.plans import mail
+
+    rows = mail.tune_per_user(spark, data).collect()
+    own = mail.labels(spark, data).join(mail.messages(spark, data), "msg_id")
+    split = EV.stratified_split(own.select("u", "msg_id", "is_spam"), "is_spam", "msg_id", EV.HOLDOUT, "u")
+    held = {r.u: r.n for r in split.filter("is_test").groupBy("u").agg(F.count("*").alias("n")).collect()}
+    kept = {r.u: r.n for r in split.filter("not is_test").groupBy("u").agg(F.count("*").alias("n")).collect()}
+    assert rows and len({r.u for r in rows}) == len(rows)
+    for r in rows:
+        assert r.test_fp + r.test_fn + r.test_tp + r.test_tn <= held.get(r.u, 0) and r.fp + r.fn + r.tp + r.tn <= kept[r.u]
+        assert r.write == (r.refused is None) and (r.refused == "spam" or r.test_fn + r.test_tp >= 50)
+    assert sum(r.test_fp + r.test_fn + r.test_tp + r.test_tn for r in rows) > 0
+
+
 def test_online_learning(spark):
     from quillsift.streaming.learn import replay
 
