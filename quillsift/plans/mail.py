@@ -103,14 +103,25 @@ def mixed_script_flag(spark, d):
     return table(spark, d, "tokens").filter(T.is_mixed_script(body)).select("token_id", "word")
 
 
+def _brand_misses(names):
+    """``token_id, token`` of every ``token_id, u, name`` that claims a brand other than its owner's domain."""
+    hit = F.filter(T.name_tokens(F.col("name"), F.col("u")), lambda x: x.startswith("x:brandmiss:"))
+    return names.select("token_id", F.explode(hit).alias("token"))
+
+
 def brand_mismatch(spark, d):
-    """Display names against the domain of the owner; every twentieth name claims a brand in disguise."""
+    """Display names against the domain of the owner, as the SQL has them: every twentieth is replaced by one that claims
+    a brand in disguise, the others are cut to 100 characters. ``brand_mismatch_stored`` has the stored names."""
     t = table(spark, d, "tokens").filter(F.col("word").startswith("h:fromname:"))
     spoof = F.element_at(F.array(*(F.lit(x) for x in ("AppIe Support", "PayPa1 Service", "C0les Rewards", "Netf1ix"))), (F.pmod("token_id", F.lit(4)) + 1).cast("int"))
     name = F.when(F.pmod("token_id", F.lit(20)) == 0, spoof).otherwise(F.substring("word", F.lit(12), F.lit(100)))
-    t = t.select("token_id", "u", name.alias("name"))
-    hit = F.filter(T.name_tokens(F.col("name"), F.col("u")), lambda x: x.startswith("x:brandmiss:"))
-    return t.select("token_id", F.explode(hit).alias("token"))
+    return _brand_misses(t.select("token_id", "u", name.alias("name")))
+
+
+def brand_mismatch_stored(spark, d):
+    """Every stored display name, whole, against the domain of the owner."""
+    t = table(spark, d, "tokens").filter(F.col("word").startswith("h:fromname:"))
+    return _brand_misses(t.select("token_id", "u", F.substring("word", F.lit(12), F.length("word")).alias("name")))
 
 
 def auth_tokens(spark, d):
@@ -501,7 +512,7 @@ def stream_daily_counts(spark, d):
 
 
 NAMES = """tokenize_body subject_unigrams subject_bigrams token_doc_freq url_normalize host_decompose effective_tld
-email_address_tokens homoglyph_fold mixed_script_flag brand_mismatch auth_tokens html_to_tokens train_model model_totals
+email_address_tokens homoglyph_fold mixed_script_flag brand_mismatch brand_mismatch_stored auth_tokens html_to_tokens train_model model_totals
 model_counts_by_user model_merge model_cleanup model_export model_import model_import_roundtrip token_prob top_interesting
 min_distance_select score_fisher score_geometric score_good_bias score_gated explain_top_tokens confusion_matrix folder_eval
 score_percentiles score_histogram stratified_split threshold_sweep params_grid tune_per_user shadow_compare shadow_totals

@@ -82,3 +82,13 @@ def test_odd_messages(spark):
     assert "b:headers" in tokens(spark, b"no headers at all")
     many = b"Subject: x\r\n\r\n" + " ".join(f"w{i}" for i in range(60_000)).encode()
     assert len(tokens(spark, many)) <= 50_100
+
+
+def test_brands_in_stored_names(spark, tmp_path):
+    """Names of every id are examined, and to their ends; brands are given in canonical form."""
+    from quillsift.plans import mail
+
+    names = [(20, "AppIe Support"), (21, "AppIe Support"), (40, "Plain Person"), (60, "word " * 30 + "Netf1ix"), (61, "word " * 30 + "Netf1ix")]
+    spark.createDataFrame([(i, "a@shop.example", f"h:fromname:{n}") for i, n in names], "token_id bigint, u string, word string").write.parquet(f"{tmp_path}/tokens.parquet")
+    got = {tuple(r) for r in mail.brand_mismatch_stored(spark, str(tmp_path)).collect()}
+    assert got == {(20, "x:brandmiss:apple"), (21, "x:brandmiss:apple"), (60, "x:brandmiss:netfllx"), (61, "x:brandmiss:netfllx")}
