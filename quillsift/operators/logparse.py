@@ -17,7 +17,11 @@ Defined results
 * a line number occurring again within a file is read once
 * lines in front of a file's first header make an entry without timestamp
 * an empty table has no entries; further columns are ignored, whatever their names
-* of a very long entry every line is read; lines that are no field are counted, not kept
+* ``message`` has the entry from the first character no header covers to its end, with all its lines; of an entry
+  parsed otherwise it has all of it
+* ``spans`` has the line, start and end (exclusive) of all that only the catch-all rules cover, lines that are no field
+  among it; ``unparsed`` counts its characters, without line breaks
+* of a very long entry every line is read; ``deliveries`` does not keep lines that are no field
 """
 
 from __future__ import annotations
@@ -136,7 +140,7 @@ GRAMMAR = Grammar(
     """,
     "Entry",
 )
-#: Continuation lines that can be a field; all others are counted only.
+#: Continuation lines that can be a field; all others are unparsed.
 _FIELD_LINE = re.compile(r'[ \t]+(?:user:|verdict:|folder:)|[ \t]*["}]|[ \t]+(?!\||at )\S')
 
 
@@ -196,8 +200,10 @@ def parse_entry(text: str, file: str | None) -> dict:
             _SEEN.clear()
         _SEEN[names] = GRAMMAR.parse(names) if names else None
     parse = _SEEN[names]
-    out = dict.fromkeys(("ts_us", "level", "component", "message", "owner", "verdict", "score_e6", "folder"))
-    out["unparsed"] = 0
+    out = dict.fromkeys(("ts_us", "level", "component", "owner", "verdict", "score_e6", "folder"))
+    out["begin"] = 0
+    # what no rule covers but the catch-all ones, as bounds in the text
+    out["spans"] = [] if parse or not text else [(0, len(text))]
     raw: dict[str, list[str]] = {}
     kind = "Words"
     for name, i, j in parse[1] if parse else ():
@@ -211,7 +217,9 @@ def parse_entry(text: str, file: str | None) -> dict:
                 raw["_end"] = j
         elif name in ("Words", "Tail") and not raw.get(f"_{name}"):
             raw[f"_{name}"] = [text[spans[i][0] : spans[j - 1][1]]]
-            out["unparsed"] += spans[j - 1][1] - spans[i][0]
+            out["spans"].append((spans[i][0], spans[j - 1][1]))
+            if name == "Words":
+                out["begin"] = spans[i][0]
     year = _YEAR.findall(file or "")
     for n, s in zip(names, spans):
         t = text[s[0] : s[1]]
@@ -225,7 +233,6 @@ def parse_entry(text: str, file: str | None) -> dict:
         elif n == "JUNIT":
             out["component"] = json.loads(t.split(":", 1)[1], strict=False)
     out["component"] = out["component"] or (raw["Source"][0].split("(")[0] if raw.get("Source") else None)
-    out["message"] = (raw.get("_Words") or [text.split("\n")[0]])[0]
     if kind != "Words":
         folders = raw.get("Folder", []) + raw.get("Quoted", [])
         if all(len(raw.get(k, ())) == 1 for k in ("Owner", "Verdict", "Score")) and len(folders) == 1:
@@ -246,23 +253,48 @@ def parse_entry(text: str, file: str | None) -> dict:
 
 ENTRY_DDL = (
     "file string, line_no bigint, lines bigint, ts_us bigint, level string, component string, message string, "
-    "owner string, verdict string, score_e6 bigint, folder string, unparsed bigint"
+    "owner string, verdict string, score_e6 bigint, folder string, unparsed bigint, "
+    "spans array<struct<line_no: bigint, start: int, end: int>>"
 )
+COLUMNS = [c.split()[0] for c in ENTRY_DDL.partition(", spans")[0].split(", ")] + ["spans"]
 _HEAD = re.compile(HEADER)
 
 
-def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _detail(r: dict, lines: list[tuple[int, str, bool]]) -> None:
+    """Replace bounds in the parsed text by the lines they are on; add the lines left out of it and the message.
+
+    ``lines`` are the entry's numbers, lines, and whether they are in the parsed text.
+    """
+    spans, parsed, begin, at, message = [], sorted(r.pop("spans")), r.pop("begin"), 0, None
+    for k, (no, line, kept) in enumerate(lines):
+        pieces = [(0, len(line))]
+        if kept:
+            pieces = [(max(a - at, 0), min(b - at, len(line))) for a, b in parsed]
+            if message is None and begin <= at + len(line):
+                message = "\n".join([line[max(begin - at, 0) :], *(x for _, x, _ in lines[k + 1 :])])
+            at += len(line) + 1
+        spans += [{"line_no": no, "start": a, "end": b} for a, b in pieces if a < b]
+    r |= {"message": message, "spans": spans, "unparsed": sum(x["end"] - x["start"] for x in spans)}
+
+
+def _entries(batches: Iterator[pd.DataFrame], detail: bool) -> Iterator[pd.DataFrame]:
     at: tuple | None = None  # file and first line
-    text: list[str] = []
-    count, last, rest = 0, None, 0
+    text: list[tuple[int, str, bool]] = []
+    count, last = 0, None
     rows: list[dict] = []
 
     def flush() -> None:
         if at is not None:
-            r = parse_entry("\n".join(text), at[0])
-            r["unparsed"] += rest
+            r = parse_entry("\n".join(line for _, line, kept in text if kept), at[0])
+            if detail:
+                _detail(r, text)
+            else:
+                r |= {"message": None, "spans": None, "unparsed": None}
             rows.append({"file": at[0], "line_no": at[1], "lines": count} | r)
 
+    def frame() -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=COLUMNS)
+
     for pdf in batches:
         for file, block, no, line in zip(pdf["file"], pdf["block"], pdf["line_no"], pdf["line"]):
             if last == (file, no):
@@ -272,23 +304,22 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             last = (file, no)
             if new:
                 flush()
-                at, text, count, rest = (file, no), [line], 1, 0
+                at, text, count = (file, no), [(no, line, True)], 1
                 continue
             count += 1
-            if _FIELD_LINE.match(line):
-                text.append(line)
-            else:
-                rest += len(line)
+            kept = _FIELD_LINE.match(line) is not None
+            if kept or detail:
+                text.append((no, line, kept))
         if rows:
-            yield pd.DataFrame(rows)
+            yield frame()
             rows = []
     flush()
     if rows:
-        yield pd.DataFrame(rows)
+        yield frame()
 
 
-def parse_log(lines: DataFrame) -> DataFrame:
-    """One row per entry of ``file, line_no, line``."""
+def parse_log(lines: DataFrame, detail: bool = True) -> DataFrame:
+    """One row per entry of ``file, line_no, line``; without ``detail`` message, spans and unparsed are NULL."""
     spark = lines.sparkSession
     src = lines.select("file", F.col("line_no").cast("bigint").alias("line_no"), F.col("line").cast("string").alias("line"))
     size = max(BLOCK_LINES, -(-src.count() // MAX_BLOCKS))
@@ -311,9 +342,9 @@ def parse_log(lines: DataFrame) -> DataFrame:
         .repartition(shuffle_width(spark), "file", "block")
         .sortWithinPartitions("file", "block", "line_no")
     )
-    return parts.mapInPandas(_entries, ENTRY_DDL)
+    return parts.mapInPandas(lambda batches: _entries(batches, detail), ENTRY_DDL)
 
 
 def deliveries(lines: DataFrame) -> DataFrame:
     """``file, line_no, ts_us, verdict, score_e6, folder`` of every complete delivery entry."""
-    return parse_log(lines).filter("verdict is not null").select("file", "line_no", "ts_us", "verdict", "score_e6", "folder")
+    return parse_log(lines, detail=False).filter("verdict is not null").select("file", "line_no", "ts_us", "verdict", "score_e6", "folder")

@@ -26,11 +26,17 @@ def p3_found(spark, d):
 def p3_entries_by_level(spark, d):
     """Entries, lines and unparsed characters of every file by level and component."""
     e = logparse.parse_log(table(spark, d, "mail_log"))
-    return e.groupBy("file", "level").agg(
-        F.count(F.lit(1)).alias("entries"), F.sum("lines").alias("lines"), F.count("verdict").alias("deliveries")
+    return e.groupBy("file", "level", "component").agg(
+        F.count(F.lit(1)).alias("entries"), F.sum("lines").alias("lines"), F.count("verdict").alias("deliveries"), F.sum("unparsed").alias("unparsed")
     )
 
 
+def p3_unparsed(spark, d):
+    """What no rule but the catch-all ones covers: the entry's first line, and the line and bounds of each span."""
+    e = logparse.parse_log(table(spark, d, "mail_log"))
+    return e.select("file", "line_no", F.explode("spans").alias("s")).select("file", "line_no", F.col("s.line_no").alias("span_line"), "s.start", "s.end")
+
+
 def p4_found(spark, d):
     return upsert_op.surplus(table(spark, d, "msgid_line"), table(spark, d, "delivery_start"))
 
@@ -56,6 +62,7 @@ QUERIES = {
     "p2_orphans_by_batch": p2_orphans_by_batch,
     "p3_found": p3_found,
     "p3_entries_by_level": p3_entries_by_level,
+    "p3_unparsed": p3_unparsed,
     "p4_found": p4_found,
     "p4_surplus_by_batch": p4_surplus_by_batch,
     "p5_found": p5_found,

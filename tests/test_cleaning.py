@@ -233,6 +233,30 @@ def test_log_layouts(spark):
     assert logparse.parse_log(df.limit(0)).count() == 0
 
 
+def test_log_spans(spark, tmp_path):
+    """Lines that are no field stay in the message, and every unparsed span can be read back from the lines."""
+    from quillsift.plans import cleaning
+
+    log = [LOG[15], "Traceback:", "  at x.y(z)", "", "    at q", "\t| tail\r", LOG[3], "odd line", "no header at all"]
+    df = spark.createDataFrame([("m-2026-03-24.log", i, x) for i, x in enumerate(log, 1)], "file string, line_no bigint, line string")
+    for size in (2_000, 2):
+        old, logparse.BLOCK_LINES = logparse.BLOCK_LINES, size
+        try:
+            got = {r.line_no: r for r in logparse.parse_log(df).collect()}
+        finally:
+            logparse.BLOCK_LINES = old
+        assert sorted(got) == [1, 7]
+        assert got[1].message.endswith("script failed, context follows\n" + "\n".join(x.rstrip("\r") for x in log[1:6])) and not got[1].message.startswith("2026")
+        assert got[7].message == "\n".join(log[6:9]) and got[7].verdict == "GOOD"
+        texts = {k: [log[s.line_no - 1][s.start : s.end] for s in r.spans] for k, r in got.items()}
+        assert texts[7] == log[7:9] and texts[1][1:] == ["Traceback:", "  at x.y(z)", "    at q", "\t| tail"] and texts[1][0].endswith("context follows")
+        assert all(r.unparsed == sum(map(len, texts[k])) for k, r in got.items())
+    df.write.parquet(f"{tmp_path}/mail_log.parquet")
+    rows = cleaning.p3_entries_by_level(spark, str(tmp_path)).collect()
+    assert {(r.level, r.component) for r in rows} == {(r.level, r.component) for r in got.values()} and sum(r.unparsed for r in rows) == sum(r.unparsed for r in got.values())
+    assert cleaning.p3_unparsed(spark, str(tmp_path)).count() == 7
+
+
 def test_log_long_entry():
     text = LOG[3].replace("Clients (old)", "x (" * 3000)
     assert logparse.parse_entry(text, "mail-2026-03-24")["score_e6"] == 1000
