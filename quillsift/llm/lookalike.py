@@ -91,7 +91,7 @@ def looked(tokens: DataFrame) -> DataFrame:
     """The rows that may have a double, with their look under the collation as ``__key``."""
     spark = tokens.sparkSession
     named = tokens.filter(F.col("u").isNotNull() & F.col("word").isNotNull())
-    plain = F.col("word").rlike("^[!-~]+$")
+    plain = F.col("word").rlike(r"^[!-~]+\z")
     odd = with_look(named.filter(~plain))
     wanted = odd.select("u", F.col("__look").alias("word")).distinct()
     doubles = named.filter(plain).join(wanted, ["u", "word"], "left_semi").withColumn("__look", F.col("word"))
@@ -130,7 +130,7 @@ def merged(tokens: DataFrame) -> DataFrame:
     """One row per owner and visible word: the canonical word, its forms and the counts together."""
     spark = tokens.sparkSession
     named = tokens.select("u", "word", "good", "spam", "last_seen").filter(F.col("u").isNotNull() & F.col("word").isNotNull())
-    plain = F.col("word").rlike("^[!-~]+$")
+    plain = F.col("word").rlike(r"^[!-~]+\z")
     known = named.filter(plain).withColumn("__look", F.col("word")).unionByName(with_look(named.filter(~plain)))
     rows = spark.sql("SELECT *, __look COLLATE UNICODE AS __key FROM {r}", r=known)
     return spark.sql(

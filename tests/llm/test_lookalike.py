@@ -50,3 +50,12 @@ def test_tables():
     source, target, _ = L.tables()
     assert len(set(source)) == len(source) and len(target) < len(source)
     assert len(L.DRAWN) == len(L.PLAIN)
+
+
+def test_line_ends_are_blanks(spark):
+    """A word that ends in one line terminator looks like the word without it."""
+    words = [("a", "b:paypal"), *(("a", "b:paypal" + end) for end in ("\n", "\r", "\r\n", "\x85", "\u2028", "\u2029")), ("a", "b:other\n")]
+    got = {tuple(r) for r in L.same_look(frame(spark, words)).collect()}
+    assert got == brute(words) == {(a, b) for a in range(7) for b in range(a + 1, 7)}
+    m = {r.word: r.forms for r in L.merged(frame(spark, words)).collect()}
+    assert m == {"b:paypal": 7, "b:other\n": 1}
