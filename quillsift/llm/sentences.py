@@ -3,8 +3,10 @@
 A text is cut into blocks (at blank lines), a block into tokens; a quoted or bracketed passage is one token.
 Between two tokens there is a hidden event: a boundary, or none.  The model has the probability of a boundary
 given the token before (with the event before that) and of the token after given the event and the token
-before.  It is trained without labels: the contexts of all possible boundaries of all documents are
-counted in one pass, and expectation maximisation starts from what is known of stops and abbreviations.
+before.  It is trained without labels: one pass over all documents counts the contexts of the possible
+boundaries that follow no other directly (of a run of neighbouring ones only the first, since what is
+before the others isn't known), and expectation maximisation over these starts from what is known of stops
+and abbreviations.
 Forward-backward posteriors over each run of neighbouring possible boundaries decide.  Where a script marks no stops
 (Thai) the gaps between blanks are the possible boundaries.
 
@@ -221,7 +223,7 @@ def tokens(text: str) -> list[Token]:
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of the contexts of all gaps: ``kind`` e (a boundary may be) or b (it can't)."""
+    """Counts of the contexts of gaps: ``kind`` e (a boundary may be, and not in the gap before) or b (it can't)."""
     counts: Counter = Counter()
     inside: Counter = Counter()  # tokens that no boundary can precede, by kind and text
     for pdf in batches:
