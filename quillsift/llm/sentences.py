@@ -1,19 +1,28 @@
-"""Sentence units of texts in any language, by a hidden-event n-gram model.
-
-A text is cut into blocks (at blank lines), a block into tokens; a quoted or bracketed passage is one token.
-Between two tokens there is a hidden event: a boundary, or none.  The model has the probability of a boundary
-given the token before (with the event before that) and of the token after given the event and the token
-before.  It is trained without labels: one pass over all documents counts the contexts of the possible
-boundaries that follow no other directly (of a run of neighbouring ones only the first, since what is
-before the others isn't known), and expectation maximisation over these starts from what is known of stops
-and abbreviations.
-Forward-backward posteriors over each run of neighbouring possible boundaries decide.  Where a script marks no stops
-(Thai) the gaps between blanks are the possible boundaries.
+"""Sentence units of texts in any language, by a hidden-event n-gram model over words.
+
+Between two tokens of a text there is a hidden event: a boundary, or none.  The model has
+
+* the chance of a boundary after a token, given that token and the event before it: words in front of a stop by
+  themselves, backed off to their class (how often they stand without a stop, their length and letters), all
+  other tokens by their kind;
+* what begins a sentence: the next token after a boundary, by word, backed off to its shape;
+* what goes on: the next token after no boundary, given the token before, backed off in the same way.
+
+Nothing is listed: that a word is an abbreviation is learned from how seldom it stands without its stop and from
+what follows it.  Training needs no labels.  One pass over the texts writes, for every block, where a boundary
+is possible and the runs of neighbouring possible boundaries; equal runs are counted together over all
+documents, every gap of every run among them; expectation maximisation runs the forward-backward algorithm over
+each different run, as a job over that table.  The texts aren't read again: the posteriors of each run decide the
+written blocks.
+
+A boundary is possible after stops and after closed passages that hold one; in Thai at blanks; and in a block of
+many words without any stop in front of every word with a capital letter.  A quoted or bracketed passage is one
+token.
 
 Defined results
 ---------------
 * null, empty and blank texts have no units
-* a block without a stop is one unit; repeats of a document are cut each
+* a block without a stop is one unit unless its words tell otherwise; repeats of a document are cut each
 * positions count code points from 0, the end exclusive; no unit begins or ends with a blank
 * quote marks at line starts belong to a unit only if they lie inside it
 * an unclosed quote or bracket encloses nothing; an empty table has no units; further columns are ignored
@@ -22,6 +31,9 @@ Defined results
 
 from __future__ import annotations
 
+import math
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,39 +45,42 @@ from pyspark.sql import functions as F
 from quillsift.llm.texts import spread
 from quillsift.shared import materialize
 
-#: Words that the model knows by themselves after a possible boundary; all others go by their shape.
-KNOWN_WORDS = 500
-
-# Abbreviations by what follows them - a name, a figure, the rest of the sentence, or either
-# that or a new sentence.
-ABBREVIATIONS = {
-    "T": "mr mrs ms dr prof rev gen sen rep capt lt col sgt hon st mt messrs fr hr hrn frl dipl ing sr sra srta dra d dña ud uds m mm mme mlle mgr pr डॉ श्री प्रो د أ",
-    "N": "no nr nos núm num núms nº p pp pg pág págs fig figs sec sect art arts ch cap chap vol vols ed ref abb abs kap bd s ss ziff tel v vv approx ca env aprox circa सं पृ रु",
-    "C": "cf vs viz esp incl excl resp bzw bspw vgl evtl ggf sog inkl zzgl zb dh ex ej ie eg i.e e.g z.b d.h u.a p.ex p.ej ee al",
-    "E": "etc usw uvm co inc ltd bros corp jr sen. uu a.m p.m u.s u.k e.u u.s.a u.n am pm ggmbh",
-}
-# The months of a language that writes days as ordinals, with a stop behind the figure.
-MONTHS = set("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
-_KIND = {w: k for k, ws in ABBREVIATIONS.items() for w in ws.split()}
+#: The size of the model: words it knows by themselves in front of a stop, and behind a boundary. Rarer ones go by class.
+LEFT_WORDS, NEXT_WORDS = 100_000, 2_000
+ROUNDS = 3
+#: Words of a block without stops from which capital letters may tell where sentences begin.
+UNSTOPPED = 14
 
 _STOP = ".!?…。！？｡．‼⁇⁈⁉؟۔।॥"
 _OPEN, _CLOSE = "([{（［【〔«‹「『《〈“„‚", ")]}）］】〕»›」』》〉”"
 _PAIRS = dict(zip("([{（［【〔«‹「『《〈", ")]}）］】〕»›」』》〉")) | {"“": "”", "„": "“"}
 _QUOTES = set('«‹「『《〈“„"')
-_TOKEN = regex.compile(
-    r"""(?P<Q>(?m:^)[ \t]*(?:>[ \t]?)+)
-    |(?P<U>https?://[^\s<>"”»]*[^\s<>"”».,;:!?)…]|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|(?<![\p{Latin}\d])[a-z0-9-]{2,}(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?![\p{Latin}]))
-    |(?P<D>(?<![\p{L}\p{N}])(?:\p{L}\p{M}*\.){2,})
-    |(?P<N>\p{N}+(?:[.,:/]\p{N}+)*)
-    |(?P<W>[\p{Thai}]+|[\p{Han}\p{Hiragana}\p{Katakana}ー々]+|(?:(?![\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}‌‍⁠​﻿\xad])+(?:['’](?:(?![\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}])+)*)
-    |(?P<S>[.!?…。！？｡．‼⁇⁈⁉؟۔।॥]+)
-    |(?P<O>[(\[{（［【〔«‹「『《〈“„"])
-    |(?P<C>[)\]}）］】〕»›」』》〉”])
-    |(?P<P>\S)""",
+_MARK = re.compile(f"[{re.escape(_STOP)}]+|[{re.escape(_OPEN + _CLOSE)}\"]")
+_URL = regex.compile(
+    r"""https?://[^\s<>"”»]*[^\s<>"”».,;:!?)…]|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+
+    |(?<![\p{Latin}\d])[a-z0-9-]{2,}(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?![\p{Latin}])""",
     regex.X,
 )
+_MAY_BE_URL = re.compile(r"[a-z0-9-]\.[a-z]{2}|@|://")
+_INITIALS = regex.compile(r"(?<![\p{L}\p{N}])(?:\p{L}\p{M}*\.){2,}")
+_LETTERS = r"(?:(?![\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}‌‍⁠​﻿\xad])+"
+_RUNS = r"[\p{Thai}]+|[\p{Han}\p{Hiragana}\p{Katakana}ー々]+"
+_WORD = regex.compile(rf"{_RUNS}|{_LETTERS}(?:['’]{_LETTERS})*")
+_LEFT = regex.compile(rf"(?r)(?:{_RUNS}|(?:{_LETTERS}['’])*{_LETTERS}|\p{{N}}+(?:[.,:/]\p{{N}}+)*)")
+#: What is between tokens: blanks, and quote marks at line starts.
+_BETWEEN = re.compile(r"(?m)(?:^[ \t]*(?:>[ \t]?)+|\s)*")
+_END = regex.compile(r"(?m)(?:\s|^[ \t]*(?:>[ \t]?)+(?=\s|\Z))+\Z")
+_BLANK = re.compile(r"\s")
+_BLANKS = regex.compile(r"[^\S\r\n]+")
+_CAPITAL = regex.compile(r"(?<=\s)\p{Lu}")
+_SOLID = regex.compile(r"[\p{L}\p{N}\p{M}" + regex.escape(_OPEN) + '"]')
+_CLIPPED = re.compile(r"^[^\W\d_aeiouyäöüáéíóúàèùâêîôû]+$|^.{0,3}[^\W\d_aeiouyäöüáéíóúàèùâêîôû]{2,}$|^.{0,6}[^\W\d_aeiouyäöüáéíóúàèùâêîôû]{3,}$", re.I)
+_NO_WIDTH = str.maketrans("", "", "‌‍⁠​﻿\xad")
 _BLANK_LINES = regex.compile(r"(?:\r\n|\n|\r)(?:[^\S\r\n]*(?:\r\n|\n|\r))+")
-_THAI, _CJK = regex.compile(r"\p{Thai}"), regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+_THAI, _CJK = re.compile("[\u0e01-\u0e3a\u0e40-\u0e5b]"), regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+
+#: Between the gaps of a run, and between a gap's left and next token and their parts.
+GAP, SIDE, PART = "\x1e", "\x1f", "\x1d"
 
 
 def _script(c: str) -> str:
@@ -80,24 +95,6 @@ def _script(c: str) -> str:
     return "low" if c.islower() else "unc"
 
 
-def _word_class(kind: str, text: str) -> str:
-    if kind == "N":
-        return "NUM"
-    if kind in "UP":
-        return "OTH"
-    known = _KIND.get(text.lower())
-    if known and (len(text) > 1 or text.islower() or known == "T"):
-        return known
-    if len(text) == 1 and text.isalpha() and _script(text) in ("low", "Up"):
-        return "iu" if text.isupper() else "il"
-    return _script(text[0])
-
-
-def _first_word(text: str, a: int, b: int) -> str:
-    """A word as the model may know it: of a run without blanks, the first characters."""
-    return text[a : min(b, a + 2)] if _CJK.match(text[a]) else text[a : min(b, a + 4)] if _THAI.match(text[a]) else text[a:b]
-
-
 def _stop_class(s: str) -> str:
     if "…" in s or s.startswith(".."):
         return "~"
@@ -106,41 +103,6 @@ def _stop_class(s: str) -> str:
     return "." if s[0] == "." else "。"
 
 
-#: What a token of a kind is for the model, where its first character doesn't matter.
-_FIRST = {"N": "num", "U": "low", "S": "pun", "C": "pun", "O": "open"}
-
-
-class Token:
-    """A token of a block. What the model sees of it is worked out only where it asks."""
-
-    __slots__ = ("start", "end", "cls", "kind", "text", "stop")
-
-    def __init__(self, start: int, end: int, cls: str | None, kind: str, text: str):
-        self.start, self.end, self.cls, self.kind, self.text, self.stop = start, end, cls, kind, text, end
-
-    @property
-    def month(self) -> bool:
-        return self.kind == "W" and self.text[self.start : self.stop].lower() in MONTHS
-
-    @property
-    def first(self) -> str:
-        known = _FIRST.get(self.kind)
-        if known:
-            return known
-        c = self.text[self.start]
-        if self.kind == "P":
-            return "inv" if c in "¿¡" else "pun"
-        shape = _script(c)
-        return "mon" if shape == "Up" and self.month else shape
-
-    @property
-    def word(self) -> str:
-        if self.kind != "W":
-            return ""
-        w = _first_word(self.text, self.start, self.stop)
-        return "" if w.lower() in MONTHS and _script(w[0]) == "Up" else w
-
-
 def blocks(text: str) -> Iterator[tuple[int, int]]:
     """Bounds of the blocks, which empty or blank lines divide."""
     at = 0
@@ -152,301 +114,605 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
-def tokens(text: str) -> list[Token]:
-    """The tokens of a block. ``cls`` is set where a boundary may follow, as far as the token itself tells."""
-    raw = [(m.lastgroup, m.start(), m.end()) for m in _TOKEN.finditer(text) if m.lastgroup != "Q"]
-    match: dict[int, int] = {}
+def _matched(text: str, marks: list[tuple[int, int]]) -> dict[int, int]:
+    """Opening marks with the closing ones that belong to them, by their places in ``marks``."""
+    found: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
-    for i, (kind, a, _) in enumerate(raw):
-        if kind not in "OC":
-            continue
+    for i, (a, _) in enumerate(marks):
         c = text[a]
-        if c in '"“' or kind == "C":
-            want = '"' if c == '"' else c
+        if c in _STOP:
+            continue
+        if c in '"“' or c in _CLOSE:
+            want = c
             k = next((k for k in range(len(stack) - 1, -1, -1) if (stack[k][0] == '"' and want == '"') or _PAIRS.get(stack[k][0]) == want), None)
             if k is not None:
-                match[stack[k][1]] = i
+                found[stack[k][1]] = i
                 del stack[k:]
                 continue
-            if kind == "C":
+            if c in _CLOSE:
                 continue
         stack.append((c, i))
-    out: list[Token] = []
-    i, n = 0, len(raw)
+    return found
+
+
+def _next(text: str, at: int) -> tuple[str, str]:
+    """What the model may know of the token that begins at a position: its word, and its shape."""
+    c = text[at]
+    if c.isnumeric():
+        return "", "num"
+    m = _WORD.match(text, at)
+    if m is None:
+        return "", "open" if c in _OPEN or c == '"' else "inv" if c in "¿¡" else "pun"
+    w, shape = m[0], _script(c)
+    if len(w) == 1 and text[at + 1 : at + 2] == "." and shape != "unc":
+        return "", shape  # an initial
+    if shape == "cjk":
+        w = w[:2]
+    elif shape == "th":
+        w = w[:4]
+    return _known(w), shape
+
+
+def _known(word: str) -> str:
+    """A word in one width, without characters that have none."""
+    return word if word.isascii() else unicodedata.normalize("NFKC", word.translate(_NO_WIDTH))
+
+
+def _urls(text: str) -> list[tuple[int, int]]:
+    """Bounds of the addresses in a text; looked for only where blanks enclose what may be one."""
+    found: list[tuple[int, int]] = []
+    past = 0
+    for m in _MAY_BE_URL.finditer(text):
+        a = m.start()
+        if a < past:
+            continue
+        while a > past and not text[a - 1].isspace():
+            a -= 1
+        end = _BLANK.search(text, m.end())
+        past = end.start() if end else len(text)
+        found += [u.span() for u in _URL.finditer(text, a, past)]
+    return found
+
+
+def scan(text: str) -> tuple[int, int, list[int], list[int], list[str], list[bool]] | None:
+    """A block's first and last position, the ends and next beginnings of its possible boundaries, their runs, and
+    which of the pieces between them hold more than marks.
+
+    A run is one text: ``^`` if its first token begins the block, and for each gap the token before and the next one.
+    """
+    lo = _BETWEEN.match(text).end()
+    hi = len(text.rstrip())
+    if hi and text[hi - 1] == ">" and (tail := _END.search(text)):
+        hi = tail.start()
+    if lo >= hi:
+        return None
+    marks = [m.span() for m in _MARK.finditer(text, lo, hi)]
+    urls: list[tuple[int, int]] = []
+    if marks and _MAY_BE_URL.search(text):
+        urls = _urls(text)
+        if urls:
+            marks = [(a, b) for a, b in marks if not any(s <= a < e for s, e in urls)]
+    match = _matched(text, marks) if marks else {}
+    # candidates: (start of the token before, its end with stop and closing marks, what it is)
+    found: list[tuple[int, int, str]] = []
+    closed: list[tuple[int, int]] = []
+    stops = 0
+    i, n, past = 0, len(marks), lo
+    pair = initials = (-1, -1)
     while i < n:
-        kind, a, b = raw[i]
+        a, b = marks[i]
+        if a < past:
+            i += 1
+            continue
+        c = text[a]
+        if c in _STOP:
+            if c == "." and b == a + 1 and a > lo and b < hi:
+                if text[a - 1].isnumeric() and text[b].isnumeric():
+                    i += 1
+                    continue
+                if text[a - 1].isalpha() and text[b].isalpha() and (d := _INITIALS.match(text, a - 1)):
+                    initials = d.span()
+                    past, i = d.end(), i + 1
+                    while i < n and marks[i][0] < past:
+                        i += 1
+                    k = _BETWEEN.match(text, past).end()
+                    if i < n and marks[i][0] == k and text[k] in _STOP:
+                        stop, end, i = _stop_class(text[k : marks[i][1]]), marks[i][1], i + 1
+                    else:
+                        stop, end = ".", past
+                    left, start = f"d{PART}{d[0][:-1]}", initials[0]
+                    stops += 1
+                    found.append((start, *_closing(marks, match, i, end, f"{stop}{PART}{left}")))
+                    i, past = _past(marks, i, found[-1][1])
+                    continue
+            stops += 1
+            stop = _stop_class(text[a:b])
+            j = a
+            while j > lo and text[j - 1].isspace():
+                j -= 1
+            if j <= lo or text[j - 1] in _STOP and not any(e == j for _, e in urls):
+                left, start = "∅", a
+            elif j == pair[1]:
+                left, start = "PAIR", pair[0]
+            elif url := next((s for s, e in urls if e == j), None):
+                left, start = "OTH", url
+            elif m := _LEFT.match(text, lo, j):
+                start = m.start()
+                left = ("NUM" if j - start < 3 else "NUM3") if text[j - 1].isnumeric() else _word_left(m[0], stop)
+            else:
+                left, start = "OTH", j - 1
+            found.append((start, *_closing(marks, match, i + 1, b, f"{stop}{PART}{left}")))
+            i, past = _past(marks, i + 1, found[-1][1])
+            continue
         if i in match:
             j = match[i]
-            inner = raw[j - 1][0]
-            ends = j > i + 1 and (inner in "SD" or (inner == "C" and raw[j - 2][0] in "SD"))
-            t = Token(a, raw[j][2], ("Q" if text[a] in _QUOTES else "B") if ends else None, "O", text)
-            i = j + 1
-        else:
-            t = Token(a, b, None, kind, text)
-            i += 1
-            if kind == "D":
-                t.cls = (_KIND.get(text[a : b - 1].lower()) or "DOT") + "|."
-            elif kind == "S":
-                t.cls = "∅|" + _stop_class(text[a:b])
-        # a stop goes with the token before it, whatever blank is between
-        if i < n and raw[i][0] == "S" and kind != "S":
-            cls = "PAIR" if t.kind == "O" and t.end > b else t.cls[:-2] if kind == "D" else _word_class(kind, text[a:b])
-            t.cls, t.end = f"{cls}|{_stop_class(text[raw[i][1] : raw[i][2]])}", raw[i][2]
-            i += 1
-        # so do closing marks without their opening ones
-        while t.cls and i < n and raw[i][0] == "C" and raw[i][1] == t.end:
-            t.end = raw[i][2]
-            i += 1
-        out.append(t)
-    # where a boundary may be, by what is between the token and the next
-    thai = _THAI.search(text) is not None
-    for k in range(len(out) - 1):
-        t = out[k]
-        if t.cls is None and not thai:
+            pair = (a, marks[j][1])
+            closed.append(pair)
+            inner = j - 1
+            if inner > i and text[marks[inner][0]] in _CLOSE:
+                inner -= 1
+            ends = inner > i and text[marks[inner][0]] in _STOP and _only_closing(text, marks[inner][1], marks[j][0])
+            i, past = j + 1, pair[1]
+            k = _BETWEEN.match(text, past).end()
+            if i < n and marks[i][0] == k and text[k] in _STOP:
+                continue  # its stop goes with it
+            if ends:
+                stops += 1
+                found.append((pair[0], *_closing(marks, match, i, past, "Q" if c in _QUOTES else "B")))
+                i, past = _past(marks, i, found[-1][1])
             continue
-        nxt = out[k + 1]
-        gap = text[t.end : nxt.start]
-        if t.cls == "NUM|." and nxt.first == "mon":
-            t.cls = "N|."  # the day in front of its month
-        if t.cls is None:
-            beside = _THAI.match(text[t.end - 1]) or _THAI.match(text[nxt.start])
-            figure = text[t.end - 1].isnumeric() or text[nxt.start].isnumeric()
-            if gap and beside and not figure and not regex.search(r"[\r\n]", gap):
-                t.cls = "th|_"
-        elif not gap:
-            stop = t.cls.rpartition("|")[2]
-            if nxt.first == "pun" or (stop == "." and (t.cls[0] in "id∅D" or t.cls[:2] in ("T|", "N|", "C|") or nxt.first in ("low", "num"))) or (stop in "!~" and nxt.first == "low"):
-                t.cls = None
-    if out:
-        out[-1].cls = None
-    return out
-
-
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of the contexts of gaps: ``kind`` e (a boundary may be, and not in the gap before) or b (it can't)."""
-    counts: Counter = Counter()
-    inside: Counter = Counter()  # tokens that no boundary can precede, by kind and text
-    for pdf in batches:
-        for text in pdf["text"]:
-            if not text:
+        i += 1
+    if _THAI.search(text, lo, hi):
+        ends_at = {e for _, e, _ in found}
+        for m in _BLANKS.finditer(text, lo, hi):
+            a, b = m.span()
+            if a <= lo or b >= hi or a in ends_at or any(s < a < e for s, e in closed) or text[b] in _STOP:
                 continue
-            for a, b in blocks(text):
-                block = text[a:b]
-                ts = tokens(block)
-                for k, (t, nxt) in enumerate(zip(ts, ts[1:])):
-                    if t.cls is None:
-                        inside[nxt.kind, block[nxt.start : nxt.stop] if nxt.kind in "WDP" else ""] += 1
-                    elif k == 0 or ts[k - 1].cls is None:
-                        counts["e", "start" if k == 0 else "none", t.cls, nxt.word, nxt.first] += 1
-        if len(counts) + len(inside) > 100_000:
-            yield _counted(counts, inside)
-            counts, inside = Counter(), Counter()
-    yield _counted(counts, inside)
+            x, y = text[a - 1], text[b]
+            if (_THAI.match(x) or _THAI.match(y)) and not x.isnumeric() and not y.isnumeric():
+                w = _LEFT.match(text, lo, a)
+                found.append((w.start() if w else a - 1, a, f"_{PART}th"))
+        found.sort(key=lambda f: f[1])
+    elif not stops and text.count(" ", lo, hi) >= UNSTOPPED - 1:
+        for m in _CAPITAL.finditer(text, lo, hi):
+            end = m.start()
+            while text[end - 1].isspace():
+                end -= 1
+            if end > lo and not any(s < end < e for s, e in closed):
+                w = _LEFT.match(text, lo, end)
+                found.append((w.start() if w else end - 1, end, f"-{PART}{'word' if w else 'OTH'}"))
+    ends, nexts, runs, solid = [], [], [], []
+    run: list[str] = []
+    at = lo
+    for start, end, left in found:
+        k = _BETWEEN.match(text, end).end()
+        if k >= hi or end < at:
+            continue
+        word, shape = _next(text, k)
+        if k == end:
+            if shape == "pun":
+                continue
+            left = "t" + left
+        gap = f"{left}{SIDE}{word}{PART}{shape}"
+        if run and start == nexts[-1]:
+            run.append(gap)
+        else:
+            if run:
+                runs.append(GAP.join(run))
+            run = [("^" if start == lo else "") + gap]
+        solid.append(_SOLID.search(text, at, end) is not None)
+        ends.append(end)
+        nexts.append(k)
+        at = k
+    if run:
+        runs.append(GAP.join(run))
+    solid.append(_SOLID.search(text, at, hi) is not None)
+    return lo, hi, ends, nexts, runs, solid
+
+
+def _word_left(word: str, stop: str) -> str:
+    """A word in front of a stop: by itself in front of a full stop, by its script elsewhere."""
+    shape = _script(word[-1] if len(word) > 1 else word)
+    if shape in ("cjk", "th"):
+        return shape
+    return f"w{PART}{_known(word)}" if stop == "." else "word" if shape in ("low", "Up") else shape
 
 
-def _counted(counts: Counter, inside: Counter) -> pd.DataFrame:
-    for (kind, text), n in inside.items():
-        t = Token(0, len(text), None, kind, text)
-        counts["b", "", "", t.word, t.first] += n
-    return pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["kind", "before", "cls", "word", "shape", "n"])
+def _only_closing(text: str, a: int, b: int) -> bool:
+    return all(c in _CLOSE or c.isspace() for c in text[a:b])
 
 
-#: What is known beforehand: the chance of a boundary after a token of a class; ``start``: at a unit's start.
-PRIOR = {"T": 0.005, "N": 0.02, "C": 0.01, "E": 0.5, "DOT": 0.2, "iu": 0.05, "il": 0.03, "NUM": 0.8, "∅": 0.5}
-PRIOR_START = {"NUM|.": 0.001, "Q": 0.03, "B": 0.95, "iu|.": 0.005, "il|.": 0.005, "∅|~": 0.02}
-WEIGHT = 200.0
+def _closing(marks: list, match: dict, i: int, end: int, left: str) -> tuple[int, str]:
+    """The end behind closing marks that directly follow without their opening ones."""
+    if i < len(marks) and marks[i][0] == end:
+        opened = set(match.values())
+        while i < len(marks) and marks[i][0] == end and marks[i][1] == end + 1 and i not in opened and i not in match:
+            end, i = marks[i][1], i + 1
+    return end, left
 
 
-def _prior(before: str, cls: str) -> float:
-    if before == "start" and cls in PRIOR_START:
-        return PRIOR_START[cls]
-    if cls in ("Q", "B"):
-        return 0.93 if cls == "Q" else 0.03
-    word, _, stop = cls.rpartition("|")
-    if stop == ".":
-        return PRIOR.get(word, 0.97)
-    return {"!": 0.95, "~": 0.7 if word in ("low", "Up", "NUM", "OTH") else 0.97, "。": 0.99, "_": 0.99}[stop]
+def _past(marks: list, i: int, end: int) -> tuple[int, int]:
+    while i < len(marks) and marks[i][0] < end:
+        i += 1
+    return i, end
 
 
-def _group(cls: str) -> str:
-    """Which beginnings of sentences are to be expected behind a token of a class."""
-    word = cls.rstrip("^").partition("|")[0]
-    return word if word in ("cjk", "th", "unc") else "any" if word in ("PAIR", "∅", "Q", "B") else "cased"
+BLOCK_DDL = "doc_id bigint, lo int, hi int, ends array<int>, nexts array<int>, runs array<string>, solid array<boolean>, word string"
+_COLUMNS = [c.split()[0] for c in BLOCK_DDL.split(", ")]
 
 
-def _key(before: str, cls: str) -> str:
-    """Tokens that begin a unit are a class of their own: list numbers, initials, quotes and brackets."""
-    return cls + "^" if before == "start" else cls
+def _scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each block; and for each word behind a blank (``word``, with its shape in ``runs`` and whether it has no
+    stop in ``solid``) how often it stands there, in ``doc_id``. Words that begin a block aren't counted."""
+    free: Counter = Counter()
+
+    def words() -> pd.DataFrame:
+        counts: Counter = Counter()
+        for w, n in free.items():
+            word, shape = _next(w, 0)
+            counts[word if len(word) <= 24 else "", shape, not _MARK.search(w)] += n
+        free.clear()
+        return pd.DataFrame([(n, None, None, None, None, [shape], [alone], w) for (w, shape, alone), n in counts.items()], columns=_COLUMNS)
+
+    for pdf in batches:
+        rows = []
+        for doc, text in zip(pdf["doc_id"], pdf["text"]):
+            if not text:
+                continue
+            free.update(text.split())
+            for a, b in blocks(text):
+                block = text[a:b]
+                got = scan(block)
+                if got:
+                    lo, hi, ends, nexts, runs, solid = got
+                    free[block[lo:hi].split(None, 1)[0]] -= 1  # nothing is before it that it could go on from
+                    rows.append((doc, a + lo, a + hi, [a + e for e in ends], [a + k for k in nexts], runs, solid, None))
+        yield pd.DataFrame(rows, columns=_COLUMNS)
+        if len(free) > 200_000:
+            yield words()
+    yield words()
+
+
+# --- the model
+
+#: What is known beforehand of kinds of tokens: the chance of a boundary behind one; and where one begins a unit.
+PRIOR = {"NUM": 0.8, "NUM3": 0.95, "∅": 0.5, "OTH": 0.97, "PAIR": 0.97, "d": 0.2, "initial": 0.05, "never<4": 0.15, "never<7": 0.3, "never": 0.7, "seldom": 0.5, "often": 0.97, "rare": 0.9, "clipped": 0.05}
+PRIOR_START = {"NUM": 0.001, "NUM3": 0.05, "d": 0.005, "initial": 0.005, "never<4": 0.001, "never<7": 0.005, "never": 0.05, "seldom": 0.05, "often": 0.5, "clipped": 0.001}
+#: Shapes that are to be expected behind an abbreviation the model has not seen.
+BEHIND_CLIPPED = {"Up": 0.5, "num": 0.3, "low": 0.2}
+#: Weights of what is known beforehand, of a class for its words, of what is common for the shapes behind a class, and
+#: of a word's share everywhere in what it is inside sentences.
+WEIGHT, OF_CLASS, OF_SHAPE, OF_SHARE = 200.0, 8.0, 20.0, 100.0
+#: Occurrences from which a word in front of a stop is judged by itself at first, and those a next word needs to be known.
+JUDGED, KNOWN = 5, 3
+SHAPES = ("low", "Up", "num", "open", "pun", "cjk", "th", "unc", "inv")
+GROUPS = ("any", "cased", "cjk", "th", "unc")
+
+
+def _word_class(word: str, free: int, stopped: int) -> str:
+    """A word's class, by how often it stands without a stop (``free``) and with one."""
+    if len(word) == 1 and _script(word) != "unc":
+        return "initial"
+    share = free / (free + stopped)
+    if share == 0:
+        return "never<4" if len(word) < 5 else "never<7" if len(word) < 8 else "never"
+    return "seldom" if share < 0.25 else "often"
 
 
 class Model:
-    """Boundary and token probabilities. Its size is bounded by the classes and ``KNOWN_WORDS``."""
-
-    def __init__(self, contexts: list[tuple], rounds: int = 6):
-        """``contexts``: rows ``kind, before, cls, word, shape, n``; ``word`` is empty where the model doesn't know it."""
-        events = [(b, c, w or s, n) for k, b, c, w, s, n in contexts if k == "e"]
-        self.shape = {w or s: s for *_, w, s, _ in contexts} | {s: s for s in ("low", "Up", "num", "open", "pun", "cjk", "th", "unc", "inv", "mon")}
-        inside, everywhere = Counter(), Counter(dict.fromkeys(self.shape, 0.5))
-        of_shape: Counter = Counter()
-        for k, _, _, w, s, n in contexts:
-            inside[w or s] += n if k == "b" else 0
-            everywhere[w or s] += n
-        for x, n in everywhere.items():
-            of_shape[self.shape[x]] += n
-        share = {x: n / of_shape[self.shape[x]] for x, n in everywhere.items()}  # of a word among those of its shape
-
-        def smooth(counts: dict, shapes: dict, weight: float) -> dict:
-            """Word counts, backed off to the shape and the word's share in it; shape counts, backed off to ``shapes``."""
-            by_shape: Counter = Counter()
-            for x, n in counts.items():
-                by_shape[self.shape[x]] += n
-            total = sum(counts.values())
-            p = {s: (by_shape[s] + 20.0 * shapes.get(s, 0.0)) / (total + 20.0) for s in of_shape}
-            return {x: (counts.get(x, 0.0) + weight * p[self.shape[x]] * share[x]) / (total + weight) for x in self.shape}
-
-        total = sum(inside.values()) + len(of_shape)
-        shapes: Counter = Counter(dict.fromkeys(of_shape, 1.0))
-        for x, n in inside.items():
-            shapes[self.shape[x]] += n
-        shapes = {s: n / total for s, n in shapes.items()}
-        self.background = smooth(inside, shapes, 100.0)
-        # beginnings: of what follows tokens behind which a boundary is all but sure, leaving out small letters
-        even = dict.fromkeys(of_shape, 1.0 / len(of_shape))
-        seed: dict[str, Counter] = {g: Counter() for g in ("cased", "cjk", "th", "unc", "any")}
-        for b, c, x, n in events:
-            if _prior(b, c) > 0.9 and self.shape[x] not in ("pun", "low"):
-                seed[_group(c)][x] += n
-                seed["any"][x] += n
-        begin_shapes: dict[str, dict] = {}
-        self.start = {}
-        for g, f in seed.items():
-            n = sum(f.values()) + 1.0
-            by: Counter = Counter(even)
-            for x, v in f.items():
-                by[self.shape[x]] += v
-            begin_shapes[g] = {x: v / n for x, v in by.items()}
-            self.start[g] = smooth(f, even, 100.0)
+    """Boundary and token probabilities; its size is bounded by ``LEFT_WORDS`` and ``NEXT_WORDS``."""
+
+    def __init__(self, left_words: dict[str, str], next_words: dict[str, str]):
+        """Classes of the known words in front of a stop, and shapes of the known next words."""
+        self.classes, self.shapes = left_words, next_words | {s: s for s in SHAPES}
         self.chance: dict[tuple[str, str], float] = {}
-        self.first: dict[str, dict[str, float]] = {}
-        self.follow: dict[str, dict[str, float]] = {}
-        # to begin with, classes that all but surely end a unit, or don't, tell what follows a boundary, or none
-        own: dict[tuple[str, str], Counter] = {}
-        for b, c, x, n in events:
-            own.setdefault((b, c), Counter())[x] += n
-        for (b, c), f in own.items():
-            if _prior(b, c) < 0.1:
-                self.follow[_key(b, c)] = smooth(f, shapes, 100.0)
-            elif _prior(b, c) > 0.9:
-                self.first[_key(b, c)] = smooth({x: n for x, n in f.items() if self.shape[x] not in ("low", "pun")}, begin_shapes[_group(c)], 100.0)
-        for _ in range(rounds):
-            yes, no = Counter(), Counter()
-            first: dict[str, Counter] = {}
-            after: dict[str, Counter] = {}
-            for b, c, x, n in events:
-                q = self.posterior(b, c, x)
-                yes[b, c] += n * q
-                no[b, c] += n * (1 - q)
-                first.setdefault(_key(b, c), Counter())[x] += n * q
-                after.setdefault(_key(b, c), Counter())[x] += n * (1 - q)
-            for key in yes:
-                self.chance[key] = (yes[key] + WEIGHT * _prior(*key)) / (yes[key] + no[key] + WEIGHT)
-            for c, f in first.items():
-                self.first[c] = smooth(f, begin_shapes[_group(c)], 100.0)
-            for c, f in after.items():
-                self.follow[c] = smooth(f, shapes, 100.0)
-
-    def known(self, t: Token) -> str:
-        return t.word if t.word in self.shape else t.first
-
-    def weights(self, before: str, cls: str, nxt: str) -> tuple[float, float]:
-        """Of a boundary, and of none, with the next token."""
-        p = self.chance.get((before, cls))
-        p = _prior(before, cls) if p is None else p
-        least = 1e-9
-        key = _key(before, cls)
-        begins = self.first.get(key) or self.start[_group(cls)]
-        goes_on = self.follow.get(key) or self.background
-        return p * begins.get(nxt, least), (1 - p) * goes_on.get(nxt, least)
-
-    def posterior(self, before: str, cls: str, nxt: str) -> float:
-        a, b = self.weights(before, cls, nxt)
-        return a / (a + b)
-
-    def decide(self, ts: list[Token]) -> list[int]:
-        """Indices of the tokens that end a unit, by forward-backward posteriors over each run of possible boundaries."""
-        out, k, n = [], 0, len(ts)
-        while k < n:
-            if ts[k].cls is None:
-                k += 1
-                continue
-            j = k
-            while j < n and ts[j].cls is not None:
-                j += 1
-            table = []
-            for i in range(k, j):
-                x = self.known(ts[i + 1])
-                table.append({b: self.weights(b, ts[i].cls, x) for b in ("start", "none")})
-            forward = []
-            p = (1.0, 0.0) if k == 0 else (0.0, 1.0)
-            for w in table:
-                p = tuple(p[0] * w["start"][e] + p[1] * w["none"][e] for e in (0, 1))
-                s = p[0] + p[1] or 1.0
-                p = (p[0] / s, p[1] / s)
-                forward.append(p)
-            back = (1.0, 1.0)
-            for i in range(len(table) - 1, -1, -1):
-                f = forward[i]
-                if f[0] * back[0] >= f[1] * back[1]:
-                    out.append(k + i)
-                w = table[i]
-                back = (w["start"][0] * back[0] + w["start"][1] * back[1], w["none"][0] * back[0] + w["none"][1] * back[1])
-                s = back[0] + back[1] or 1.0
-                back = (back[0] / s, back[1] / s)
-            k = j
-        return sorted(out)
+        self.begin: dict[str, dict[str, float]] = {}
+        self.within: dict[str, float] = {}
+        self.shape_after: dict[str, dict[str, float]] = {}
+        self._read: dict[str, tuple] = {}
+        self._decided: dict[str, tuple[bool, ...]] = {}
+
+    # a gap as the model sees it: (key, class, group, next, shape)
+    def gap(self, text: str) -> tuple[str, str, str, str, str]:
+        got = self._read.get(text)
+        if got is None:
+            left, _, right = text.partition(SIDE)
+            word, _, shape = right.partition(PART)
+            stop, _, token = left.partition(PART)
+            kind, _, name = token.partition(PART)
+            if kind == "w":
+                cls = self.classes.get(name)
+                key = f"{stop}{name}" if cls else None
+                script = _script(name[0])
+                if cls is None:
+                    # a word the model has not seen goes as an abbreviation only if it is cut off behind consonants
+                    cls = "initial" if len(name) == 1 and script != "unc" else "clipped" if _CLIPPED.search(name) else "rare"
+                group = "unc" if script == "unc" else "cased"
+            elif kind == "d":
+                cls, key, group = "d", f"{stop}{name}." if name in self.classes else None, "cased"
+            else:
+                cls, key = kind, None
+                group = kind if kind in ("cjk", "th", "unc") else "cased" if kind == "word" else "any"
+            cls = stop + cls
+            got = (key or cls, cls, group, word if word in self.shapes else shape, shape)
+            if len(self._read) > 500_000:
+                self._read.clear()
+            self._read[text] = got
+        return got
+
+    @staticmethod
+    def prior(before: str, cls: str) -> float:
+        tight = cls[0] == "t"
+        c = cls[1:] if tight else cls
+        if c in ("Q", "B"):
+            return {"Q": 0.03, "B": 0.95}[c] if before == "^" else {"Q": 0.93, "B": 0.03}[c]
+        stop, kind = c[0], c[1:]
+        if stop == ".":
+            p = PRIOR_START[kind] if before == "^" and kind in PRIOR_START else PRIOR.get(kind, 0.97)
+            return p * 0.5 if tight else p
+        if stop == "-":
+            return 0.08
+        if stop == "~" and before == "^" and kind == "∅":
+            return 0.02
+        return {"!": 0.95, "~": 0.7 if kind in ("word", "NUM", "NUM3", "OTH") else 0.97, "。": 0.99, "_": 0.99}[stop]
+
+    def weights(self, before: str, gap: tuple) -> tuple[float, float]:
+        """Of a boundary, and of none, with the next token.
+
+        What begins a sentence is the same behind all words; what goes on differs in its shape only."""
+        key, cls, group, nxt, shape = gap
+        p = self.chance.get((before, key))
+        if p is None:
+            p = self.chance.get((before, cls))
+            if p is None:
+                p = self.prior(before, cls)
+        after = (self.shape_after.get(key) if key != cls else None) or self.shape_after.get(before + cls) or self.shape_after[""]
+        return p * self.begin[group].get(nxt, 1e-9), (1 - p) * after[shape] * self.within.get(nxt, 1e-9)
+
+    def posteriors(self, run: str) -> list[tuple[str, tuple, float]]:
+        """For every gap and event before it: the chances of a boundary and of none, by forward-backward.
+
+        Returns ``(before, gap, boundary, none)`` rows whose chances add up to 1 for each gap.
+        """
+        first = run[0] == "^"
+        gaps = [self.gap(g) for g in (run[1:] if first else run).split(GAP)]
+        if len(gaps) == 1:
+            b = "^" if first else ""
+            y, n = self.weights(b, gaps[0])
+            s = y + n
+            return [[(b, gaps[0], y / s, n / s)]]
+        table = [{b: self.weights(b, g) for b in ("^", "")} for g in gaps]
+        # a boundary before makes the next token begin a unit
+        forward, p = [], ((1.0, 0.0) if first else (0.0, 1.0))
+        for w in table:
+            forward.append(p)
+            q = (p[0] * w["^"][0] + p[1] * w[""][0], p[0] * w["^"][1] + p[1] * w[""][1])
+            s = q[0] + q[1] or 1.0
+            p = (q[0] / s, q[1] / s)
+        out, back = [], (1.0, 1.0)
+        for i in range(len(gaps) - 1, -1, -1):
+            w, f = table[i], forward[i]
+            cells = [(f[k] * w[b][0] * back[0], f[k] * w[b][1] * back[1]) for k, b in enumerate(("^", ""))]
+            s = sum(map(sum, cells)) or 1.0
+            out.append([(b, gaps[i], y / s, n / s) for b, (y, n) in zip(("^", ""), cells)])
+            back = tuple(w[b][0] * back[0] + w[b][1] * back[1] for b in ("^", ""))
+            s = back[0] + back[1] or 1.0
+            back = (back[0] / s, back[1] / s)
+        return out[::-1]
+
+    def decide(self, run: str) -> tuple[bool, ...]:
+        """Which gaps of a run are boundaries."""
+        got = self._decided.get(run)
+        if got is None:
+            got = tuple(sum(y for _, _, y, _ in g) >= 0.5 for g in self.posteriors(run))
+            if len(self._decided) > 200_000:
+                self._decided.clear()
+            self._decided[run] = got
+        return got
+
+    def fit(self, expected: dict[tuple[str, str, str], float], first: bool = False, judge: bool = False) -> None:
+        """The probabilities from expected counts: ``(table, a, b) -> n`` of :func:`_expect`.
+
+        The ``first`` time the words behind all but sure boundaries tell what begins a sentence, and what stands
+        between blanks inside sentences what goes on; both stay.  To ``judge``, each word in front of a stop is
+        compared over all its occurrences: with a sentence ending behind every one, and behind none.
+        """
+        tables: dict[str, dict[str, Counter]] = {}
+        for (what, a, b), n in expected.items():
+            tables.setdefault(what, {}).setdefault(a, Counter())[b] += n
+        if first:
+            begin, inside = tables.get("b", {}), tables.get("f", {}).get("inside", Counter())
+            seen = Counter(inside)
+            for f in begin.values():
+                seen.update(f)
+            unknown = [x for x in self.shapes if x not in SHAPES and seen[x] < KNOWN]
+            for x in unknown:
+                shape = self.shapes.pop(x)
+                for f in (inside, *begin.values()):
+                    f[shape] += f.pop(x, 0)
+            self._read.clear()
+            by = self._by_shape(inside)
+            total = sum(by.values())
+            self.shape_after[""] = {s: n / total for s, n in by.items()}
+            self.shape_after[".clipped"] = self.shape_after["^.clipped"] = {s: BEHIND_CLIPPED.get(s, 1e-4) for s in SHAPES}
+            # a word's share among those of its shape, wherever it stands
+            everywhere = Counter({x: 1.0 if x in SHAPES else 0.1 for x in self.shapes})
+            for f in (inside, begin.get("any", Counter())):
+                everywhere.update(f)
+            shapes = self._by_shape(everywhere)
+            share = {x: everywhere[x] / shapes[s] for x, s in self.shapes.items()}
+            self.within = {x: (inside[x] + OF_SHARE * share[x]) / (by[s] + OF_SHARE) for x, s in self.shapes.items()}
+            for g in GROUPS:
+                f = begin.get(g, Counter())
+                f = f if sum(f.values()) >= 50 else begin.get("any", Counter())
+                by = self._by_shape(f)
+                total = sum(by.values())
+                self.begin[g] = {x: (by[s] / total) * (f[x] + OF_SHAPE * share[x]) / (by[s] + OF_SHAPE) for x, s in self.shapes.items()}
+        yes, no = tables.get("y", {}), tables.get("n", {})
+        for k in {*yes, *no}:
+            if SIDE not in k:
+                for b in ("^", ""):
+                    y, n = yes.get(k, Counter())[b], no.get(k, Counter())[b]
+                    # that a token alone is a sentence is as rare as known beforehand
+                    kept = b == "^" and k[0] == "." and k[1:] in PRIOR_START
+                    self.chance[b, k] = self.prior(b, k) if kept else (y + WEIGHT * self.prior(b, k)) / (y + n + WEIGHT)
+        for cls, f in tables.get("s", {}).items():
+            if SIDE not in cls:
+                total = sum(f.values())
+                self.shape_after[cls] = {s: (f[s] + OF_SHAPE * self.shape_after[""][s]) / (total + OF_SHAPE) for s in SHAPES}
+        for k, f in tables.get("s", {}).items():
+            key, _, cls = k.partition(SIDE)
+            if cls:
+                total, common = sum(f.values()), self.shape_after[""]
+                self.shape_after[key] = {s: (f[s] + OF_CLASS * common[s]) / (total + OF_CLASS) for s in SHAPES}
+        for k in {*yes, *no}:
+            key, _, cls = k.partition(SIDE)
+            if cls:
+                y, n = yes.get(k, Counter())[""], no.get(k, Counter())[""]
+                self.chance["", key] = (y + OF_CLASS * self.chance["", cls]) / (y + n + OF_CLASS)
+                self.chance["^", key] = min(self.chance["^", cls], self.chance["", key])
+        if judge:
+            for k, f in tables.get("S", {}).items():
+                key, _, cls = k.partition(SIDE)
+                n = sum(f.values())
+                if n >= JUDGED:
+                    ends = tables["L"][k][""] - sum(v * math.log(v / n) for v in f.values() if v > 0)
+                    self.chance["", key] = max(0.6, self.prior("", cls)) if ends > 0 else 0.15
+                    f = Counter() if ends > 0 else f
+                    n = sum(f.values())
+                    self.shape_after[key] = {s: (f[s] + OF_CLASS * self.shape_after[""][s]) / (n + OF_CLASS) for s in SHAPES}
+        self._decided.clear()
+
+    def _by_shape(self, counts: Counter) -> Counter:
+        by: Counter = Counter(dict.fromkeys(SHAPES, 1.0))
+        for x, n in counts.items():
+            by[self.shapes[x]] += n
+        return by
 
     def units(self, text: str) -> list[tuple[int, int]]:
         """The bounds of the sentence units of a text."""
         out = []
         for a, b in blocks(text):
-            ts = tokens(text[a:b])
-            if not ts:
-                continue
-            at = 0
-            mine = []
-            for k in [*self.decide(ts), len(ts) - 1]:
-                if k >= at:
-                    if mine and not any(t.word or t.first in ("num", "open", "low", "Up", "mon") for t in ts[at : k + 1]):
-                        mine[-1] = (mine[-1][0], a + ts[k].end)
+            got = scan(text[a:b])
+            if got:
+                lo, hi, ends, nexts, runs, solid = got
+                out += [(a + x, a + y) for x, y in self.cut(lo, hi, ends, nexts, runs, solid)]
+        return out
+
+    def cut(self, lo: int, hi: int, ends, nexts, runs, solid) -> list[tuple[int, int]]:
+        """The units of a scanned block. A unit of marks alone goes with the one before it."""
+        if not len(ends):
+            return [(lo, hi)]
+        out: list[tuple[int, int]] = []
+        at, held, k = lo, False, 0
+        for run in runs:
+            for is_end in self.decide(run):
+                held = held or bool(solid[k])
+                if is_end:
+                    if out and not held:
+                        out[-1] = (out[-1][0], ends[k])
                     else:
-                        mine.append((a + ts[at].start, a + ts[k].end))
-                    at = k + 1
-            out += mine
+                        out.append((at, ends[k]))
+                    at, held = nexts[k], False
+                k += 1
+        if out and not (held or solid[-1]):
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((at, hi))
         return out
 
 
-def train(documents: DataFrame) -> Model:
-    """Count the contexts of all documents and fit the model."""
-    src = spread(documents.select(F.col("text").cast("string").alias("text")))
-    raw = src.mapInPandas(_contexts, "kind string, before string, cls string, word string, shape string, n bigint")
-    counts = materialize(raw.groupBy("kind", "before", "cls", "word", "shape").agg(F.sum("n").alias("n")), "contexts")
-    top = (
-        counts.filter("kind = 'e' and word <> ''").groupBy("word").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "word").limit(KNOWN_WORDS)
-    )  # the size of the model, not of the data
-    named = counts.join(F.broadcast(top), "word", "left").withColumn("word", F.when(F.col("m").isNotNull(), F.col("word")).otherwise(""))
-    rows = named.groupBy("kind", "before", "cls", "word", "shape").agg(F.sum("n").cast("bigint").alias("n")).collect()
-    return Model(sorted(map(tuple, rows)))
+def _expect(model: Model, rows: Iterator[tuple[str, int]], first: bool, judge: bool) -> Counter:
+    """Expected counts over runs and how often each occurs; the ``first`` time from what is known beforehand alone."""
+    got: Counter = Counter()
+    for run, n in rows:
+        if first:
+            starts = run[0] == "^"
+            parts = [model.gap(g) for g in (run[1:] if starts else run).split(GAP)]
+            for i, (_, cls, group, nxt, shape) in enumerate(parts):
+                # all but sure boundaries tell what begins a sentence; small letters and marks don't
+                if model.prior("^" if starts and not i else "", cls) > 0.9 and shape not in ("low", "pun"):
+                    got["b", group, nxt] += n
+                    if group != "any":
+                        got["b", "any", nxt] += n
+            continue
+        for cells in model.posteriors(run):
+            for b, (key, cls, group, nxt, shape), y, no in cells:
+                got["y", cls, b] += y * n
+                got["n", cls, b] += no * n
+                got["s", b + cls, shape] += no * n
+                if key != cls:
+                    k = key + SIDE + cls
+                    got["y", k, b] += y * n
+                    got["n", k, b] += no * n
+                    got["s", k, shape] += no * n
+                    if judge and not b:
+                        share = (y + no) * n
+                        got["S", k, shape] += share
+                        got["L", k, ""] += share * (math.log(model.begin[group].get(nxt, 1e-9)) - math.log(model.within.get(nxt, 1e-9)))
+    return got
+
+
+def train(scanned: DataFrame) -> Model:
+    """Fit the model to the scanned blocks: vocabularies, then rounds of expectation and maximisation."""
+    spark = scanned.sparkSession
+    runs = scanned.filter("word is null").select(F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    runs = materialize(runs, "runs")
+    gaps = runs.select(F.explode(F.split(F.regexp_replace("run", r"^\^", ""), GAP)).alias("g"), "n")
+    left, right = F.split("g", SIDE)[0], F.split("g", SIDE)[1]
+    sides = gaps.select(F.split(left, PART).alias("l"), F.split(right, PART).alias("r"), "n")
+    named = sides.filter("size(l) = 3 and l[0] in ('.', 't.')")
+    stopped = named.groupBy(F.col("l")[2].alias("word")).agg(F.sum("n").alias("stopped"), F.max(F.col("l")[1]).alias("kind"))
+    free = scanned.filter("word is not null").groupBy("word", F.col("runs")[0].alias("shape"), F.col("solid")[0].alias("alone")).agg(F.sum("doc_id").alias("free"))
+    alone = free.filter("alone").groupBy("word").agg(F.sum("free").alias("free"))
+    stopped = stopped.join(alone, "word", "left").select("word", "kind", "stopped", F.coalesce("free", F.lit(0)).alias("free"))
+    known = stopped.orderBy(F.desc("stopped"), "word").limit(LEFT_WORDS).collect()  # the size of the model, not of the data
+    left_words = {r.word: "d" if r.kind == "d" else _word_class(r.word, r.free, r.stopped) for r in known}
+    begins = sides.groupBy(F.col("r")[0].alias("word"), F.col("r")[1].alias("shape")).agg(F.sum("n").alias("n"))
+    top = begins.filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n"), F.max("shape").alias("shape")).orderBy(F.desc("n"), "word")
+    next_words = {r.word: r.shape for r in top.limit(NEXT_WORDS).collect()}
+    # what goes on without a stop: all that stands between blanks less what is behind a possible boundary
+    names = F.broadcast(spark.createDataFrame([(w, 1) for w in sorted(next_words)], "word string, known int"))
+
+    def by_name(df: DataFrame, n: str) -> dict[str, int]:
+        named = df.join(names, "word", "left").groupBy(F.when(F.col("known") == 1, F.col("word")).otherwise(F.col("shape")).alias("x"))
+        return dict(named.agg(F.sum(n)).collect())
+
+    behind = by_name(begins, "n")
+    inside = {("f", "inside", x): float(max(n - behind.get(x, 0), 0)) for x, n in by_name(free, "free").items()}
+    model = Model(left_words, next_words)
+    for k in range(ROUNDS + 2):
+        first, judge = k == 0, k == 1
+        given = spark.sparkContext.broadcast(model)
+
+        def expect(batches: Iterator[pd.DataFrame], given=given, first=first, judge=judge) -> Iterator[pd.DataFrame]:
+            got = _expect(given.value, ((r, n) for pdf in batches for r, n in zip(pdf["run"], pdf["n"])), first, judge)
+            yield pd.DataFrame([(*k, v) for k, v in got.items()], columns=["what", "a", "b", "n"])
+
+        # sums over different tasks differ in their last digits; rounded, they don't
+        sums = runs.mapInPandas(expect, "what string, a string, b string, n double").groupBy("what", "a", "b").agg(F.round(F.sum("n"), 6).alias("n"))
+        expected = {(r[0], r[1], r[2]): r[3] for r in sums.collect()} | (inside if first else {})  # bounded by the model
+        model.fit(dict(sorted(expected.items())), first, judge)
+    return model
+
+
+def scanned(documents: DataFrame) -> DataFrame:
+    """The blocks of all documents, written to the shared folder, and the words between blanks."""
+    src = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null"))
+    return materialize(src.mapInPandas(_scanned, BLOCK_DDL), "blocks")
 
 
 def sentences(documents: DataFrame) -> DataFrame:
     """``doc_id, start_pos, end_pos`` of every sentence unit."""
-    model = documents.sparkSession.sparkContext.broadcast(train(documents))
+    blocks_ = scanned(documents)
+    model = documents.sparkSession.sparkContext.broadcast(train(blocks_))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
         for pdf in batches:
-            rows = [(d, *u) for d, text in zip(pdf["doc_id"], pdf["text"]) if text for u in m.units(text)]
+            cols = (pdf[c].tolist() for c in ("doc_id", "lo", "hi", "ends", "nexts", "runs", "solid"))
+            rows = [(doc, *u) for doc, *block in zip(*cols) for u in m.cut(*block)]
             yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "end_pos"])
 
-    src = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    src = blocks_.filter("word is null").select("doc_id", "lo", "hi", "ends", "nexts", "runs", "solid")
     return src.mapInPandas(cut, "doc_id bigint, start_pos bigint, end_pos bigint")

@@ -23,13 +23,20 @@ CASES = [
     ("نسخ ناقل الطرود العقد. د. مكتب السفر حفظ العقد؟ قال: «نعم.»", ["نسخ ناقل الطرود العقد.", "د. مكتب السفر حفظ العقد؟", "قال: «نعم.»"]),
     ("no stop here\r\n \t\r\nnext block", ["no stop here", "next block"]),
     ('An open "quote goes on. And then some.', ['An open "quote goes on.', "And then some."]),
+    ("We met Supt. Hovir at noon. Then we left.", ["We met Supt. Hovir at noon.", "Then we left."]),
+    ("Siehe Abschn. 4 im Text. Der Rest folgt.", ["Siehe Abschn. 4 im Text.", "Der Rest folgt."]),
+    (
+        "The courier notice delayed the exam results since Tuesday The help desk read the member list once more The night relay lost a voucher",
+        ["The courier notice delayed the exam results since Tuesday", "The help desk read the member list once more", "The night relay lost a voucher"],
+    ),
+    ("  > A quoted line opens here.\n  > It ends there.", ["A quoted line opens here.", "It ends there."]),
     (None, []), ("", []), ("  \n\t ", []), (".", ["."]), ("...", ["..."]),
 ]
 
 
 @pytest.fixture(scope="module")
 def model(spark, data):
-    return S.train(spark.read.parquet(f"{data}/documents.parquet".replace("sf0.001", "sf0.01")))
+    return S.train(S.scanned(spark.read.parquet(f"{data}/documents.parquet".replace("sf0.001", "sf0.01"))))
 
 
 @pytest.mark.parametrize("text,want", CASES)
@@ -61,3 +68,35 @@ def test_empty_and_long(spark, model):
     assert S.sentences(e).count() == 0
     assert len(model.units("The cat sat. " * 20_000)) == 20_000
     assert len(model.units("x" * 200_000)) == 1
+
+
+def test_abbreviations_are_learned(spark):
+    """A made-up abbreviation is cut behind until the corpus shows how it is used; no list knows it."""
+    names = ["Hovir", "Merol", "Tasim", "Konu", "Vibun", "Sape"]
+    talk = [f"The {a} left early. Our {b} came late. A {a} read it. This {b} said so." for a in ("clerk", "relay", "choir", "desk", "filter") for b in ("note", "plan", "voucher", "queue")]
+    titled = [f"We asked Zbrg. {n} about the {a}. The {a} was lost." for n in names for a in ("clerk", "relay", "choir", "desk", "filter")]
+    docs = spark.createDataFrame(list(enumerate(talk * 3 + titled * 2)), "doc_id bigint, text string")
+    m = S.train(S.scanned(docs))
+    text = "We asked Zbrg. Merol about the desk. The desk was lost."
+    assert [text[a:b] for a, b in m.units(text)] == ["We asked Zbrg. Merol about the desk.", "The desk was lost."]
+
+
+def test_forward_backward(spark, model):
+    """Posteriors of a run equal the sum over all its ways of being cut."""
+    from itertools import product
+
+    text = "He went to St. Fr. Dr. M. Xatim. The end."
+    runs = [r for r in S.scan(text)[4] if r.count(S.GAP) > 1]
+    assert runs
+    for run in runs:
+        gaps = [model.gap(g) for g in run.removeprefix("^").split(S.GAP)]
+        total, yes = 0.0, [0.0] * len(gaps)
+        for way in product((True, False), repeat=len(gaps)):
+            p, before = 1.0, "^" if run[0] == "^" else ""
+            for g, cut in zip(gaps, way):
+                p *= model.weights(before, g)[0 if cut else 1]
+                before = "^" if cut else ""
+            total += p
+            yes = [y + p * c for y, c in zip(yes, way)]
+        got = [sum(y for _, _, y, _ in cells) for cells in model.posteriors(run)]
+        assert got == pytest.approx([y / total for y in yes], abs=1e-9)
