@@ -66,7 +66,7 @@ _INITIALS = regex.compile(r"(?<![\p{L}\p{N}])(?:\p{L}\p{M}*\.){2,}")
 _LETTERS = r"(?:(?![\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}‌‍⁠​﻿\xad])+"
 _RUNS = r"[\p{Thai}]+|[\p{Han}\p{Hiragana}\p{Katakana}ー々]+"
 _WORD = regex.compile(rf"{_RUNS}|{_LETTERS}(?:['’]{_LETTERS})*")
-_LEFT = regex.compile(rf"(?r)(?:{_RUNS}|(?:{_LETTERS}['’])*{_LETTERS}|\p{{N}}+(?:[.,:/]\p{{N}}+)*)")
+_LEFT = regex.compile(rf"(?r)(?:{_RUNS}|(?:{_LETTERS}['’])*{_LETTERS}|\p{{N}}+(?:[.,:/‌‍⁠​﻿\xad]+\p{{N}}+)*)")
 #: What is between tokens: blanks, and quote marks at line starts.
 _BETWEEN = re.compile(r"(?m)(?:^[ \t]*(?:>[ \t]?)+|\s)*")
 _END = regex.compile(r"(?m)(?:\s|^[ \t]*(?:>[ \t]?)+(?=\s|\Z))+\Z")
@@ -76,7 +76,8 @@ _CAPITAL = regex.compile(r"(?<=\s)\p{Lu}")
 _SOLID = regex.compile(r"[\p{L}\p{N}\p{M}" + regex.escape(_OPEN) + '"]')
 _CLIPPED = re.compile(r"^[^\W\d_aeiouyäöüáéíóúàèùâêîôû]+$|^.{0,3}[^\W\d_aeiouyäöüáéíóúàèùâêîôû]{2,}$|^.{0,6}[^\W\d_aeiouyäöüáéíóúàèùâêîôû]{3,}$", re.I)
 _NO_WIDTH = str.maketrans("", "", "‌‍⁠​﻿\xad")
-_BLANK_LINES = regex.compile(r"(?:\r\n|\n|\r)(?:[^\S\r\n]*(?:\r\n|\n|\r))+")
+#: A carriage return and a line feed are one line end.
+_BLANK_LINES = regex.compile(r"(?:\r\n|\n|\r(?!\n))(?:[^\S\r\n]*(?:\r\n|\n|\r(?!\n)))+")
 _THAI, _CJK = re.compile("[\u0e01-\u0e3a\u0e40-\u0e5b]"), regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 
 #: Between the gaps of a run, and between a gap's left and next token and their parts.
@@ -238,7 +239,7 @@ def scan(text: str) -> tuple[int, int, list[int], list[int], list[str], list[boo
                 left, start = "OTH", url
             elif m := _LEFT.match(text, lo, j):
                 start = m.start()
-                left = ("NUM" if j - start < 3 else "NUM3") if text[j - 1].isnumeric() else _word_left(m[0], stop)
+                left = ("NUM" if len(m[0].translate(_NO_WIDTH)) < 3 else "NUM3") if text[j - 1].isnumeric() else _word_left(m[0], stop)
             else:
                 left, start = "OTH", j - 1
             found.append((start, *_closing(marks, match, i + 1, b, f"{stop}{PART}{left}")))
@@ -407,7 +408,9 @@ class Model:
         self.classes, self.shapes = left_words, next_words | {s: s for s in SHAPES}
         self.chance: dict[tuple[str, str], float] = {}
         self.begin: dict[str, dict[str, float]] = {}
+        self.begins_with: dict[str, dict[str, float]] = {}
         self.within: dict[str, float] = {}
+        self.ending: set[str] = set()
         self.shape_after: dict[str, dict[str, float]] = {}
         self._read: dict[str, tuple] = {}
         self._decided: dict[str, tuple[bool, ...]] = {}
@@ -466,6 +469,11 @@ class Model:
             p = self.chance.get((before, cls))
             if p is None:
                 p = self.prior(before, cls)
+        if before == "^" and cls[-1] in "QB":
+            # behind a passage that opens a unit both a sentence and the rest of one begin like sentences
+            after = self.shape_after.get(before + cls) or self.shape_after[""]
+            begins = self.begins_with[group]
+            return p * begins[shape], (1 - p) * after[shape]
         after = (self.shape_after.get(key) if key != cls else None) or self.shape_after.get(before + cls) or self.shape_after[""]
         return p * self.begin[group].get(nxt, 1e-9), (1 - p) * after[shape] * self.within.get(nxt, 1e-9)
 
@@ -515,7 +523,8 @@ class Model:
 
         The ``first`` time the words behind all but sure boundaries tell what begins a sentence, and what stands
         between blanks inside sentences what goes on; both stay.  To ``judge``, each word in front of a stop is
-        compared over all its occurrences: with a sentence ending behind every one, and behind none.
+        compared over all its occurrences: with a sentence ending behind every one, and behind none.  Behind those that
+        end sentences, what goes on keeps the shapes it has inside sentences.
         """
         tables: dict[str, dict[str, Counter]] = {}
         for (what, a, b), n in expected.items():
@@ -547,6 +556,7 @@ class Model:
                 f = f if sum(f.values()) >= 50 else begin.get("any", Counter())
                 by = self._by_shape(f)
                 total = sum(by.values())
+                self.begins_with[g] = {s: n / total for s, n in by.items()}
                 self.begin[g] = {x: (by[s] / total) * (f[x] + OF_SHAPE * share[x]) / (by[s] + OF_SHAPE) for x, s in self.shapes.items()}
         yes, no = tables.get("y", {}), tables.get("n", {})
         for k in {*yes, *no}:
@@ -554,7 +564,7 @@ class Model:
                 for b in ("^", ""):
                     y, n = yes.get(k, Counter())[b], no.get(k, Counter())[b]
                     # that a token alone is a sentence is as rare as known beforehand
-                    kept = b == "^" and k[0] == "." and k[1:] in PRIOR_START
+                    kept = b == "^" and (k[-1] in "QB" or k[0] == "." and k[1:] in PRIOR_START)
                     self.chance[b, k] = self.prior(b, k) if kept else (y + WEIGHT * self.prior(b, k)) / (y + n + WEIGHT)
         for cls, f in tables.get("s", {}).items():
             if SIDE not in cls:
@@ -562,7 +572,7 @@ class Model:
                 self.shape_after[cls] = {s: (f[s] + OF_SHAPE * self.shape_after[""][s]) / (total + OF_SHAPE) for s in SHAPES}
         for k, f in tables.get("s", {}).items():
             key, _, cls = k.partition(SIDE)
-            if cls:
+            if cls and key not in self.ending:
                 total, common = sum(f.values()), self.shape_after[""]
                 self.shape_after[key] = {s: (f[s] + OF_CLASS * common[s]) / (total + OF_CLASS) for s in SHAPES}
         for k in {*yes, *no}:
@@ -577,10 +587,12 @@ class Model:
                 n = sum(f.values())
                 if n >= JUDGED:
                     ends = tables["L"][k][""] - sum(v * math.log(v / n) for v in f.values() if v > 0)
-                    self.chance["", key] = max(0.6, self.prior("", cls)) if ends > 0 else 0.15
-                    f = Counter() if ends > 0 else f
-                    n = sum(f.values())
-                    self.shape_after[key] = {s: (f[s] + OF_CLASS * self.shape_after[""][s]) / (n + OF_CLASS) for s in SHAPES}
+                    if ends > 0:
+                        self.ending.add(key)
+                        self.chance["", key], self.shape_after[key] = max(0.6, self.prior("", cls)), self.shape_after[""]
+                    else:
+                        self.chance["", key] = 0.15
+                        self.shape_after[key] = {s: (f[s] + OF_CLASS * self.shape_after[""][s]) / (n + OF_CLASS) for s in SHAPES}
         self._decided.clear()
 
     def _by_shape(self, counts: Counter) -> Counter:
@@ -631,7 +643,7 @@ def _expect(model: Model, rows: Iterator[tuple[str, int]], first: bool, judge: b
             parts = [model.gap(g) for g in (run[1:] if starts else run).split(GAP)]
             for i, (_, cls, group, nxt, shape) in enumerate(parts):
                 # all but sure boundaries tell what begins a sentence; small letters and marks don't
-                if model.prior("^" if starts and not i else "", cls) > 0.9 and shape not in ("low", "pun"):
+                if model.prior("^" if starts and not i else "", cls) > 0.94 and shape not in ("low", "pun"):
                     got["b", group, nxt] += n
                     if group != "any":
                         got["b", "any", nxt] += n

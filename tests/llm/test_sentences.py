@@ -30,6 +30,8 @@ CASES = [
         ["The courier notice delayed the exam results since Tuesday", "The help desk read the member list once more", "The night relay lost a voucher"],
     ),
     ("  > A quoted line opens here.\n  > It ends there.", ["A quoted line opens here.", "It ends there."]),
+    ("The help desk read the list by\r\nmistake. The relay lost it.\r\n\r\nBye", ["The help desk read the list by\r\nmistake.", "The relay lost it.", "Bye"]),
+    ("“合唱团丢失了会议记录？”我们的队列问道。「开了。」と経理の担当者は言いました。", ["“合唱团丢失了会议记录？”我们的队列问道。", "「开了。」と経理の担当者は言いました。"]),
     (None, []), ("", []), ("  \n\t ", []), (".", ["."]), ("...", ["..."]),
 ]
 
