@@ -17,7 +17,7 @@ Defined results
 * rows without owner or word belong to no class and keep their word
 * identical strings are no pair; rows repeated with another form pair with each of its rows
 * words that are empty once trimmed (a prefix alone) form a class of their own prefix
-* combining marks in another than the canonical order count as another look
+* combining marks count in their canonical order, composed or not
 * empty tables give nothing; further columns are carried along under their own names
 """
 
@@ -70,6 +70,45 @@ def tables() -> tuple[str, str, dict[str, str]]:
     return "".join(one) + "".join(gone), "".join(one.values()), several
 
 
+@lru_cache(1)
+def marks() -> tuple[str, dict[str, str], dict[str, str]]:
+    """The combining marks that have a place in the canonical order as a character class, the place of each, and the
+    canonical decompositions of the letters that hold one."""
+    codes = [c for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))]
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    letters = {}
+    for code in (*range(0xC0, 0xAC00), *range(0xF900, 0x20000)):
+        c = chr(code)
+        whole = unicodedata.normalize("NFD", c)
+        if whole != c and any(unicodedata.combining(x) for x in whole):
+            letters[c] = whole
+    places = {chr(c): f"{unicodedata.combining(chr(c)):03d}" for c in codes}
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]", places, letters
+
+
+def _map(d: dict[str, str]):
+    return F.map_from_arrays(F.split(F.lit("\x1f".join(d)), "\x1f"), F.split(F.lit("\x1f".join(d.values())), "\x1f"))
+
+
+def ordered(c):
+    """A text with its combining marks apart from their letters and in canonical order; others are left as they are."""
+    mark, places, letters = marks()
+    apart = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(_map(letters), x), x)), "")
+
+    def sort(run):
+        each = F.transform(F.split(run, ""), lambda x, i: F.struct(F.try_element_at(_map(places), x).alias("p"), i.alias("i"), x.alias("x")))
+        return F.array_join(F.transform(F.array_sort(each), lambda s: s["x"]), "")
+
+    pieces = F.regexp_extract_all(apart, F.lit(f"(?s){mark}{{2,}}|."), F.lit(0))
+    whole = F.array_join(F.transform(pieces, lambda p: F.when(F.char_length(p) > 1, sort(p)).otherwise(p)), "")
+    return F.when(c.rlike(mark), whole).otherwise(c)
+
+
 def with_look(df: DataFrame) -> DataFrame:
     """Add ``__look``: what ``word`` looks like, before the collation takes care of accents.
 
@@ -77,10 +116,11 @@ def with_look(df: DataFrame) -> DataFrame:
     """
     source, target, several = tables()
     word = F.col("word")
-    letters = F.map_from_arrays(F.split(F.lit("\x1f".join(several)), "\x1f"), F.split(F.lit("\x1f".join(several.values())), "\x1f"))
+    letters = _map(several)
     has = F.translate(word, "".join(several), "") != word
     wide = F.array_join(F.transform(F.split(word, ""), lambda c: F.coalesce(F.try_element_at(letters, c), c)), "")
     df = df.withColumn("__mapped", F.translate(F.when(has, wide).otherwise(word), source, target))
+    df = df.withColumn("__mapped", ordered(F.col("__mapped")))
     df = df.withColumn("__prefix", F.regexp_extract("__mapped", "^ *((?:b|u|h:[^: ]+):)", 1))
     # blanks at the ends of the part behind the prefix
     rest = F.when(F.col("__prefix") != "", F.regexp_replace("__mapped", "^ *(?:b|u|h:[^: ]+):", "")).otherwise(F.col("__mapped"))
@@ -126,6 +166,16 @@ def same_look(tokens: DataFrame) -> DataFrame:
     return pairs.select("token_id_a", "token_id_b")
 
 
+def class_rows(tokens: DataFrame) -> DataFrame:
+    """``u, canonical, word, rows, forms``: every form of a class of several, with its rows and the class's forms.
+
+    A row per form, not per pair: of a class that half of an owner's rows belong to, no more than its forms come out."""
+    spark = tokens.sparkSession
+    forms = joined_back(tokens.select("u", "word")).groupBy("u", "canonical", "word").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = spark.sql("SELECT u AS cu, canonical AS cc, count(*) AS forms FROM {f} GROUP BY u, canonical", f=forms)
+    return forms.join(sizes, (F.col("u") == F.col("cu")) & (F.col("canonical") == F.col("cc"))).select("u", "canonical", "word", "rows", "forms")
+
+
 def merged(tokens: DataFrame) -> DataFrame:
     """One row per owner and visible word: the canonical word, its forms and the counts together."""
     spark = tokens.sparkSession

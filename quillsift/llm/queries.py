@@ -14,6 +14,10 @@ def p1_merged(spark, d):
     return lookalike.merged(table(spark, d, "tokens"))
 
 
+def p1_classes(spark, d):
+    return lookalike.class_rows(table(spark, d, "tokens"))
+
+
 def p6_packed(spark, d):
     return packing.pack(table(spark, d, "documents"), table(spark, d, "container_kind"))
 
@@ -41,6 +45,7 @@ def p8_found(spark, d):
 QUERIES = {
     "p1_found": p1_found,
     "p1_merged": p1_merged,
+    "p1_classes": p1_classes,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
     "p7_found": p7_found,
@@ -97,6 +102,8 @@ def _sql() -> dict[str, str]:
         "p1_found": looks + "SELECT a.token_id AS token_id_a, b.token_id AS token_id_b FROM l a JOIN l b ON a.u = b.u AND a.k = b.k AND a.token_id < b.token_id AND a.word <> b.word",
         "p1_merged": looks + """SELECT u, (min({'odd': CAST(regexp_matches(word, '[^!-~]') AS INT), 'word': word})).word AS word, count(DISTINCT word) AS forms,
             CAST(sum(coalesce(good, 0)) AS BIGINT) AS good, CAST(sum(coalesce(spam, 0)) AS BIGINT) AS spam, max(last_seen) AS last_seen FROM l GROUP BY u, k""",
+        "p1_classes": looks + """, c AS (SELECT u, k, (min({'odd': CAST(regexp_matches(word, '[^!-~]') AS INT), 'word': word})).word AS canonical, count(DISTINCT word) AS forms FROM l GROUP BY u, k HAVING count(DISTINCT word) > 1)
+            SELECT l.u, canonical, word, count(*) AS rows, forms FROM l JOIN c ON l.u = c.u AND l.k = c.k GROUP BY ALL""",
     }
 
 

@@ -59,3 +59,17 @@ def test_line_ends_are_blanks(spark):
     assert got == brute(words) == {(a, b) for a in range(7) for b in range(a + 1, 7)}
     m = {r.word: r.forms for r in L.merged(frame(spark, words)).collect()}
     assert m == {"b:paypal": 7, "b:other\n": 1}
+
+
+def test_order_of_marks(spark):
+    """Combining marks in any order, apart or composed with their letter, are one look where they are canonically equal."""
+    words = [("a", "b:" + w) for w in ("q\u0323\u0307", "q\u0307\u0323", "\u1ea1\u0307", "\u0227\u0323", "a\u0323\u0307", "q\u0301\u0307", "q\u0307\u0301", "xq\u0323y\u0307", "xq\u0307y\u0323")]
+    got = {tuple(r) for r in L.same_look(frame(spark, words)).collect()}
+    assert got == brute(words) == {(0, 1), (2, 3), (2, 4), (3, 4)}
+
+
+def test_classes(spark):
+    rows = L.class_rows(frame(spark)).collect()
+    paypal = [r for r in rows if r.u == "a" and r.canonical == "b:paypal"]
+    assert len(paypal) == 6 and all(r.forms == 6 for r in paypal) and sum(r.rows for r in paypal) == 7
+    assert L.class_rows(frame(spark).limit(0)).count() == 0
