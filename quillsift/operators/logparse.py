@@ -17,8 +17,10 @@ Defined results
 * a line number occurring again within a file is read once
 * lines in front of a file's first header make an entry without timestamp
 * an empty table has no entries; further columns are ignored, whatever their names
-* ``message`` has the entry from the first character no header covers to its end, with all its lines; of an entry
-  parsed otherwise it has all of it
+* ``level`` is what the entry states, in small letters and one spelling; NULL where it states none
+* ``component`` is the program, and its part behind a slash, without host and process number; NULL where none is named
+* ``message`` has the entry from behind its header (stamp, host, component and, in front of them, level) to its end, with
+  all its lines; of entries that quote or escape their message, the message itself
 * ``spans`` has the line, start and end (exclusive) of all that only the catch-all rules cover, lines that are no field
   among it; ``unparsed`` counts its characters, without line breaks
 * of a very long entry every line is read; ``deliveries`` does not keep lines that are no field
@@ -65,6 +67,8 @@ TERMINALS = [
     ("TSCLF", _CLF),
     ("TSKV", r"time=\d+(?:[.,]\d+)?(?=\s|$)"),
     ("MSGQ", r'msg="'),
+    ("KLVL", r"level=\w+(?=\s)"),
+    ("KCOMP", r"comp=[\w./-]+(?=\s)"),
     ("SESSB", r"\[sess=" + _STR + r"\]"),
     ("JTIME", r'"time"\s*:\s*"' + _ISO + '"'),
     ("JLVL", r'"lvl"\s*:\s*' + _STR),
@@ -91,6 +95,16 @@ TERMINALS = [
     ("DQ", r'"'),
     ("TEXT", r'(?:\\.|[^\s()"{},])+|.'),
 ]
+#: What follows a stamp, by its layout: host, program and the part of it that speaks; or level, thread and program.
+_UNIT = r"(?P<UNIT>[\w./-]+)"
+HEADS = {
+    "TSISO": re.compile(rf"[ \t]+(?P<HOST>[\w.-]+)[ \t]+{_UNIT}(?:\[\d+\])?(?::(?=\s)(?:[ \t]+(?!sieve:|DELIVERY:|(?:DEBUG|INFO|WARN|WARNING|ERROR):)(?P<SUB>[\w-]+):(?=\s))?|(?=[ \t]\d+[ \t]))", re.I),
+    "TSBLK": re.compile(rf"[ \t]+(?P<LEVEL>[A-Za-z]+)[ \t]+(?P<THREAD>\[[^\]\s]*\])[ \t]+{_UNIT}:(?=\s)"),
+    "TSCLF": re.compile(rf"[ \t]+(?P<LEVEL>[A-Za-z]+)[ \t]+{_UNIT}[ \t]+(?P<DASH>-)(?=\s)"),
+}
+HEADS["TSSYS"] = HEADS["TSISO"]
+#: Spellings of levels.
+LEVELS = {"dbg": "debug", "warning": "warn", "err": "error"}
 LEXER = re.compile("|".join(f"(?P<{n}>{p})" for n, p in TERMINALS))
 
 _ANY = " | ".join(n for n, _ in TERMINALS if n not in ("SKIP", "CONT", "NLUSER", "NLVERD", "NLFOLDER"))
@@ -102,24 +116,29 @@ GRAMMAR = Grammar(
     Body -> Framed | Json | Block | Pairs
     Body -> Stamp Words ; -50
     Body -> Stamp Source Words ; -49
+    Body -> Stamp Source LEVEL Words ; -48
+    Body -> Stamp Heading Words ; -49
     Body -> Words ; -100
     Stamp -> TSISO | TSBLK | TSSYS | TSCLF | TSKV | PRI TSISO
-    Source -> TEXT CTX
+    Source -> HOST UNIT CTX | HOST UNIT | HOST UNIT SUB
+    Heading -> LEVEL THREAD UNIT | LEVEL UNIT DASH
     # headers
     Framed -> TSISO Source SIEVE LEVEL Delivery
     Framed -> TSSYS Source LEVEL SIEVE Delivery
     Framed -> TSISO Source LEVEL SIEVE Delivery
     Framed -> TSSYS Source SIEVE LEVEL Delivery
-    Framed -> PRI TSISO TEXT NUM DELIV SESSB Target
-    Framed -> TSKV TEXT MSGQ Delivery DQ
+    Framed -> PRI TSISO Source NUM DELIV SESSB Target
+    Framed -> TSKV Attrs MSGQ Delivery DQ
+    Attrs -> Attr | Attrs Attr
+    Attr -> KLVL | KCOMP | TEXT
     Json -> LB Items RB
     Items -> Item | Items COMMA Item
     Item -> JTIME | JLVL | JUNIT | JPAIR | Message
     Message -> JMSG Delivery DQ | JMSG SIEVE Delivery DQ
-    Block -> TSBLK LEVEL TEXT Lines
+    Block -> TSBLK Heading TEXT Lines | TSBLK Heading Lines
     Lines -> Line | Lines Line
     Line -> NLUSER Owner | NLVERD Verdict Score | NLFOLDER Folder
-    Pairs -> TSCLF LEVEL TEXT DELIV PairList
+    Pairs -> TSCLF Heading DELIV PairList
     PairList -> Pair | PairList Pair
     Pair -> KUSER Owner | KVERD Verdict | KSCORE Score | Quoted
     # fields
@@ -133,7 +152,7 @@ GRAMMAR = Grammar(
     Quoted -> KFOLDER
     Folder -> FTok ; -0.1
     Folder -> Folder FTok ; -0.1
-    FTok -> TEXT | NUM | DQ | LP | RP | ARROW | ADDR | VERD | LEVEL | SIEVE | DELIV | COMMA | LB | RB | KUSER | KVERD | KSCORE | KFOLDER | MSGQ | CTX | PRI
+    FTok -> TEXT | NUM | DQ | LP | RP | ARROW | ADDR | VERD | LEVEL | SIEVE | DELIV | COMMA | LB | RB | KUSER | KVERD | KSCORE | KFOLDER | MSGQ | CTX | PRI | KLVL | KCOMP
     # anything
     Words -> Word | Words Word ; -1
     Word -> {_ANY} | NLUSER | NLVERD | NLFOLDER
@@ -146,10 +165,18 @@ _FIELD_LINE = re.compile(r'[ \t]+(?:user:|verdict:|folder:)|[ \t]*["}]|[ \t]+(?!
 
 def _lex(text: str) -> tuple[tuple[str, ...], list[tuple[int, int]]]:
     names, spans = [], []
-    for m in LEXER.finditer(text):
-        name = m.lastgroup
+    at = 0
+    while m := LEXER.match(text, at):
+        name, at = m.lastgroup, m.end()
         if name == "SKIP":
             continue
+        head = HEADS.get(name) if len(names) < 2 and (not names or names[0] == "PRI") else None
+        if head and (h := head.match(text, at)):
+            found = sorted((h.span(g), g) for g in h.groupdict() if h[g] is not None)
+            names += [name, *(g for _, g in found)]
+            spans += [m.span(), *(span for span, _ in found)]
+            at = h.end()
+            continue
         if name in ("TEXT", "CONT") and names and names[-1] == name:
             spans[-1] = (spans[-1][0], m.end())
             continue
@@ -188,6 +215,7 @@ def _micros(stamp: str, year: int | None) -> int | None:
 
 
 _ESCAPE = re.compile(r"\\(.)", re.S)
+_MESSAGE = r'[{,]\s*"msg"\s*:\s*(' + _STR + ")"
 _YEAR = re.compile(r"(?<!\d)((?:19|20)\d\d)-\d\d-\d\d")
 _SEEN: dict[tuple[str, ...], tuple | None] = {}
 
@@ -201,15 +229,22 @@ def parse_entry(text: str, file: str | None) -> dict:
         _SEEN[names] = GRAMMAR.parse(names) if names else None
     parse = _SEEN[names]
     out = dict.fromkeys(("ts_us", "level", "component", "owner", "verdict", "score_e6", "folder"))
-    out["begin"] = 0
+    out["begin"], out["said"] = 0, None
     # what no rule covers but the catch-all ones, as bounds in the text
     out["spans"] = [] if parse or not text else [(0, len(text))]
     raw: dict[str, list[str]] = {}
-    kind = "Words"
+    kind, units, stated = "Words", [], range(0)
     for name, i, j in parse[1] if parse else ():
         if name in ("Framed", "Json", "Block", "Pairs"):
             kind = name
-        if name in ("Owner", "Verdict", "Score", "Folder", "Quoted", "Source"):
+        if name in ("Source", "Heading"):
+            units = [(n, text[spans[k][0] : spans[k][1]]) for k, n in enumerate(names[i:j], i) if n in ("UNIT", "SUB", "CTX")]
+            stated = range(i, j) if name == "Heading" else range(j, j + 1 + (names[j : j + 1] == ("SIEVE",)))
+            j += names[0] == "PRI" and names[j : j + 1] == ("NUM",)  # the number of the process
+            out["begin"] = spans[j][0] if j < len(spans) else len(text)
+        elif name == "Attrs":
+            out["begin"] = spans[j][0]
+        if name in ("Owner", "Verdict", "Score", "Folder", "Quoted"):
             if name == "Folder" and raw.get("Folder") and i < raw["_end"]:
                 continue  # the shorter prefixes of a folder
             raw.setdefault(name, []).append(text[spans[i][0] : spans[j - 1][1]])
@@ -218,21 +253,31 @@ def parse_entry(text: str, file: str | None) -> dict:
         elif name in ("Words", "Tail") and not raw.get(f"_{name}"):
             raw[f"_{name}"] = [text[spans[i][0] : spans[j - 1][1]]]
             out["spans"].append((spans[i][0], spans[j - 1][1]))
-            if name == "Words":
+            if name == "Words" and not out["begin"] and i:
                 out["begin"] = spans[i][0]
     year = _YEAR.findall(file or "")
-    for n, s in zip(names, spans):
+    for k, (n, s) in enumerate(zip(names, spans)):
         t = text[s[0] : s[1]]
         if n in ("TSISO", "TSBLK", "TSSYS", "TSCLF", "TSKV", "JTIME"):
             if out["ts_us"] is None and (n == "JTIME") == (text[:1] == "{"):
                 out["ts_us"] = _micros(t if n != "JTIME" else json.loads(t.split(":", 1)[1]), int(year[-1]) if year else None)
-        elif n == "LEVEL" and out["level"] is None:
-            out["level"] = t.rstrip(":").lower()
-        elif n == "JLVL" and out["level"] is None:
-            out["level"] = json.loads(t.split(":", 1)[1], strict=False).lower()
+        elif (n == "LEVEL" and k in stated or n in ("KLVL", "JLVL")) and out["level"] is None:
+            level = t.rstrip(":") if n == "LEVEL" else t.partition("=")[2] if n == "KLVL" else json.loads(t.split(":", 1)[1], strict=False)
+            out["level"] = LEVELS.get(level.lower(), level.lower())
         elif n == "JUNIT":
-            out["component"] = json.loads(t.split(":", 1)[1], strict=False)
-    out["component"] = out["component"] or (raw["Source"][0].split("(")[0] if raw.get("Source") else None)
+            units = [("UNIT", json.loads(t.split(":", 1)[1], strict=False))]
+        elif n == "KCOMP" and not units:
+            units = [("UNIT", t[len("comp=") :])]
+        elif n == "MSGQ" and text.startswith("time="):
+            end = text.rfind('"')
+            out["said"] = _ESCAPE.sub(r"\1", text[s[1] : end]) if end >= s[1] else None
+    if text[:1] == "{":
+        if m := re.search(_MESSAGE, text):
+            try:
+                out["said"] = json.loads(m[1], strict=False)
+            except ValueError:
+                pass
+    out["component"] = "/".join(u.split("(")[0] for _, u in units) or None
     if kind != "Words":
         folders = raw.get("Folder", []) + raw.get("Quoted", [])
         if all(len(raw.get(k, ())) == 1 for k in ("Owner", "Verdict", "Score")) and len(folders) == 1:
@@ -265,7 +310,7 @@ def _detail(r: dict, lines: list[tuple[int, str, bool]]) -> None:
 
     ``lines`` are the entry's numbers, lines, and whether they are in the parsed text.
     """
-    spans, parsed, begin, at, message = [], sorted(r.pop("spans")), r.pop("begin"), 0, None
+    spans, parsed, begin, at, message = [], sorted(r.pop("spans")), r.pop("begin"), 0, r.pop("said")
     for k, (no, line, kept) in enumerate(lines):
         pieces = [(0, len(line))]
         if kept:

@@ -31,6 +31,11 @@ def p3_entries_by_level(spark, d):
     )
 
 
+def p3_entries(spark, d):
+    """Every entry: its lines, level, component and whole message."""
+    return logparse.parse_log(table(spark, d, "mail_log")).select("file", "line_no", "lines", "ts_us", "level", "component", "message")
+
+
 def p3_unparsed(spark, d):
     """What no rule but the catch-all ones covers: the entry's first line, and the line and bounds of each span."""
     e = logparse.parse_log(table(spark, d, "mail_log"))
@@ -62,6 +67,7 @@ QUERIES = {
     "p2_orphans_by_batch": p2_orphans_by_batch,
     "p3_found": p3_found,
     "p3_entries_by_level": p3_entries_by_level,
+    "p3_entries": p3_entries,
     "p3_unparsed": p3_unparsed,
     "p4_found": p4_found,
     "p4_surplus_by_batch": p4_surplus_by_batch,
@@ -157,8 +163,45 @@ SELECT file, line_no, CASE k WHEN 'kv' THEN CAST(round(CAST(regexp_extract(ts, '
 FROM r WHERE owner AND folder <> '' AND verdict <> '' AND TRY_CAST(score AS DOUBLE) IS NOT NULL
 """
 
+# every entry, by its header's layout
+_P3_ENTRIES = r"""
+WITH l AS (SELECT file, line_no, any_value(rtrim(coalesce(line, ''), chr(13))) AS line FROM mail_log GROUP BY file, line_no),
+h AS (SELECT *, regexp_matches(line, '^(\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d|(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) [ \d]\d \d\d:|\[\d\d/|time=\d|<\d+>\d{4}-|\{)') AS head FROM l),
+g AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY file ORDER BY line_no) AS n FROM h),
+e AS (SELECT file, min(line_no) AS line_no, count(*) AS lines, string_agg(line, chr(10) ORDER BY line_no) AS t,
+   string_agg(line, chr(10) ORDER BY line_no) FILTER (head OR regexp_matches(line, '^\s+\S') AND NOT regexp_matches(line, '^\s+(\||at )')) AS f FROM g GROUP BY file, n),
+x AS (SELECT *, regexp_extract(file, '(\d{4})-\d\d-\d\d', 1) AS y, CASE
+   WHEN t LIKE '{%' THEN 'json' WHEN t LIKE 'time=%' THEN 'kv' WHEN t LIKE '<%' THEN 'pri' WHEN t LIKE '[%' THEN 'clf'
+   WHEN regexp_matches(t, '^\d{4}-\d\d-\d\d ') THEN 'block' WHEN regexp_matches(t, '^\d{4}-') THEN 'iso' WHEN regexp_matches(t, '^[A-Z][a-z][a-z] [ \d]\d ') THEN 'sys' ELSE 'none' END AS k FROM e),
+p AS (SELECT *, CASE k WHEN 'iso' THEN regexp_extract(t, '^\S+', 0) WHEN 'sys' THEN left(t, 15) WHEN 'pri' THEN regexp_extract(t, '^\S+', 0)
+   WHEN 'block' THEN regexp_extract(t, '^\S+ \S+', 0) WHEN 'clf' THEN regexp_extract(t, '^\[[^\]]*\]', 0) ELSE '' END AS stamp FROM x),
+q AS (SELECT *, CASE k WHEN 'json' THEN regexp_extract(t, '"unit"\s*:\s*"([^"]*)"', 1) WHEN 'kv' THEN regexp_extract(t, ' comp=(\S+)', 1)
+   WHEN 'block' THEN regexp_extract(t, '^\S+ \S+ +\w+ +\[[^\]]*\] +([\w.-]+):', 1) WHEN 'clf' THEN regexp_extract(t, '^\[[^\]]*\] +\w+ +(\S+) - ', 1)
+   WHEN 'none' THEN '' ELSE regexp_extract(substr(t, length(stamp) + 1), '^ +[\w.-]+ +([\w./-]+)', 1) END AS unit,
+   CASE k WHEN 'json' THEN regexp_extract(t, '"lvl"\s*:\s*"([^"]*)"', 1) WHEN 'kv' THEN regexp_extract(t, ' level=(\w+)', 1)
+   WHEN 'block' THEN regexp_extract(t, '^\S+ \S+ +(\w+) ', 1) WHEN 'clf' THEN regexp_extract(t, '^\[[^\]]*\] +(\w+) ', 1) ELSE '' END AS lv,
+   CASE k WHEN 'block' THEN regexp_replace(t, '^\S+ \S+ +\w+ +\[[^\]]*\] +[\w.-]+: *', '') WHEN 'clf' THEN regexp_replace(t, '^\[[^\]]*\] +\w+ +\S+ - *', '')
+   WHEN 'pri' THEN regexp_replace(substr(t, length(stamp) + 1), '^ +\S+ +\S+ +(\d+ +)?', '')
+   ELSE regexp_replace(substr(t, length(stamp) + 1), '^ +[\w.-]+ +[\w./-]+(\[\d+\])?: *', '') END AS rest FROM p),
+r AS (SELECT *, CASE WHEN k IN ('iso', 'sys') THEN regexp_extract(rest, '^([\w-]+)\([^()\s]*\)<\d+><[^<>\s]*>:', 1) ELSE '' END AS ctx,
+   CASE WHEN k IN ('iso', 'sys') AND NOT regexp_matches(rest, '(?i)^(sieve|delivery|debug|info|warn|warning|error):') THEN regexp_extract(rest, '^([\w-]+):\s', 1) ELSE '' END AS sub FROM q),
+m AS (SELECT *, CASE WHEN ctx <> '' THEN regexp_replace(rest, '^[\w-]+\([^()\s]*\)<\d+><[^<>\s]*>: *', '') WHEN sub <> '' THEN regexp_replace(rest, '^[\w-]+: *', '') ELSE rest END AS body FROM r),
+w AS (SELECT *, CASE WHEN k IN ('iso', 'sys') THEN lower(regexp_extract(body, '^(?:sieve: +)?(DEBUG|Debug|debug|INFO|Info|info|WARN|WARNING|Warning|ERROR|Error|error)(?::|\s|$)', 1)) ELSE lower(lv) END AS lev FROM m)
+SELECT file, line_no, lines, CASE k WHEN 'kv' THEN CAST(round(CAST(regexp_extract(t, '^time=([\d.]+)', 1) AS DECIMAL(20, 6)) * 1000000) AS BIGINT)
+    WHEN 'clf' THEN epoch_us(strptime(stamp, '[%d/%b/%Y:%H:%M:%S %z]')) WHEN 'sys' THEN epoch_us(strptime(y || ' ' || replace(stamp, '  ', ' 0'), '%Y %b %d %H:%M:%S'))
+    WHEN 'json' THEN epoch_us(TRY_CAST(nullif(regexp_extract(t, '"time"\s*:\s*"([^"]*)"', 1), '') AS TIMESTAMPTZ))
+    WHEN 'block' THEN epoch_us(CAST(replace(stamp, ',', '.') || '+00:00' AS TIMESTAMPTZ)) WHEN 'none' THEN NULL ELSE epoch_us(CAST(regexp_replace(stamp, '^<\d+>', '') AS TIMESTAMPTZ)) END AS ts_us,
+  nullif(CASE lev WHEN 'dbg' THEN 'debug' WHEN 'warning' THEN 'warn' WHEN 'err' THEN 'error' ELSE lev END, '') AS level,
+  nullif(unit || CASE WHEN ctx <> '' THEN '/' || ctx WHEN sub <> '' THEN '/' || sub ELSE '' END, '') AS component,
+  CASE k WHEN 'json' THEN coalesce(CASE WHEN regexp_matches(f, '[{,]\s*"msg"\s*:\s*"(?:[^"\\]|\\.)*"') THEN json_extract_string(CAST(regexp_extract(f, '[{,]\s*"msg"\s*:\s*("(?:[^"\\]|\\.)*")', 1) AS JSON), '$') END, t)
+    WHEN 'kv' THEN CASE WHEN regexp_matches(f, '^time=.*? msg="(DELIVERY: .*)"$') THEN regexp_replace(regexp_extract(f, '^time=.*? msg="(.*)"$', 1), '\\(.)', '\1', 'g') ELSE t END ELSE body END AS message
+FROM w
+"""
+
 SQL = {
     "p3_found": _P3,
+    "p3_entries": f"SELECT file, line_no, lines, ts_us, level, component, message FROM ({_P3_ENTRIES})",
+
     "p2_found": _P2 + "SELECT src_table, src_field, row_id, reason FROM miss WHERE reason IS NOT NULL",
     "p2_orphans_by_batch": _P2 + "SELECT src_table, src_field, batch_id, reason, count(*) AS misses FROM miss WHERE reason IS NOT NULL GROUP BY ALL",
     "p4_found": _P4 + "SELECT row_id FROM ranked WHERE rn > 1",

@@ -247,7 +247,8 @@ def test_log_spans(spark, tmp_path):
             logparse.BLOCK_LINES = old
         assert sorted(got) == [1, 7]
         assert got[1].message.endswith("script failed, context follows\n" + "\n".join(x.rstrip("\r") for x in log[1:6])) and not got[1].message.startswith("2026")
-        assert got[7].message == "\n".join(log[6:9]) and got[7].verdict == "GOOD"
+        assert got[7].message == "\n".join([log[6].split(">: ", 1)[1], *log[7:9]]) and got[7].verdict == "GOOD"
+        assert (got[7].component, got[7].level) == ("dovecot/lmtp", "debug")
         texts = {k: [log[s.line_no - 1][s.start : s.end] for s in r.spans] for k, r in got.items()}
         assert texts[7] == log[7:9] and texts[1][1:] == ["Traceback:", "  at x.y(z)", "    at q", "\t| tail"] and texts[1][0].endswith("context follows")
         assert all(r.unparsed == sum(map(len, texts[k])) for k, r in got.items())
