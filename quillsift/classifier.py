@@ -9,6 +9,7 @@ from quillsift.operators import model as M
 from quillsift.operators import score as S
 from quillsift.operators.tokenize import message_tokens
 from quillsift.params import ScoreParams, TokenizerConfig
+from quillsift.shared import materialize
 from quillsift.sources.files import ModelStore
 from quillsift.sources.mime import parse_messages
 
@@ -39,13 +40,25 @@ class Classifier:
         return S.explain_nested(self.tokenize(messages), *self.store.open_existing(), self.params)
 
     def train(self, messages: DataFrame, is_spam: bool) -> int:
-        """Train all messages as one kind. Returns the new version."""
+        """Train all messages as one kind. Returns the new version.
+
+        With ``train_max_reps`` above 1, the tokens (not the totals) of the messages whose score is not sure yet are
+        trained again, all of them at once, up to so many times.
+        """
         tokens, totals = self.store.open()
         ids = messages.select("u", "msg_id").distinct()
         labels = ids.select("msg_id", F.lit(is_spam).alias("is_spam"), F.current_timestamp().alias("at"))
-        return self.store.save(
-            M.merge_tokens(tokens, M.train_tokens(self.tokenize(messages), labels)), M.merge_totals(totals, M.train_totals(ids, labels))
-        )
+        t = materialize(self.tokenize(messages), "training")
+        version = self.store.save(M.merge_tokens(tokens, M.train_tokens(t, labels)), M.merge_totals(totals, M.train_totals(ids, labels)))
+        for _ in range(self.params.train_max_reps - 1):
+            tokens, totals = self.store.open()
+            s = F.col("score")
+            unsure = materialize(S.classify(ids, t, tokens, totals, self.params).filter(s < 0.9 if is_spam else s > 0.1).select("u", "msg_id"), "unsure")
+            if unsure.isEmpty():
+                break
+            again = t.join(unsure, ["u", "msg_id"], "left_semi")
+            version = self.store.save(M.merge_tokens(tokens, M.train_tokens(again, labels)), totals)
+        return version
 
     def spam(self, messages: DataFrame) -> int:
         return self.train(messages, True)

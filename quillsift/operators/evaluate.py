@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillsift.operators.score import LEAST, chi2_survival, token_prob
-from quillsift.params import ScoreParams
+from quillsift.params import ScoreParams, write_params
 from quillsift.shared import group_index, materialize
 
 
@@ -166,6 +166,29 @@ def tune_gated(data: DataFrame, split: DataFrame, totals: DataFrame, fp_weight:
     return best.join(tuned.withColumnsRenamed({c: f"test_{c}" for c in ("fp", "fn", "tp", "tn")}), "u").join(gate, "u")
 
 
+#: Messages of each kind from which an owner is tuned.
+LEAST_HAM, LEAST_SPAM = 100, 50
+
+
+def tunable(totals: DataFrame, least_ham: int = LEAST_HAM, least_spam: int = LEAST_SPAM) -> DataFrame:
+    """Add ``skipped``: whether an owner has too few messages of a kind to be tuned."""
+    return totals.withColumn("skipped", (F.coalesce("total_good", F.lit(0)) < least_ham) | (F.coalesce("total_spam", F.lit(0)) < least_spam))
+
+
+def tune_summary(gated: DataFrame, totals: DataFrame) -> DataFrame:
+    """Owners by what came of tuning them: ``written``, ``refused`` (by its reason), ``skipped`` or ``failed`` (no result)."""
+    j = tunable(totals).select("u", "skipped").join(gated.select("u", "write", "refused"), "u", "left")
+    outcome = F.when(F.col("skipped"), "skipped").when(F.col("write"), "written").when(F.col("write").isNull(), "failed").otherwise(F.concat(F.lit("refused: "), F.col("refused")))
+    return j.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("owners"))
+
+
+def tuned_params(gated: DataFrame, running: dict[str, str]) -> dict[str, str]:
+    """New parameter files of the owners whose tuned values may be written: their managed keys set in place in the
+    ``running`` files. As many rows as there are files given come to the driver."""
+    rows = gated.filter("write").filter(F.col("u").isin(list(running))).select("u", *KNOBS).collect()
+    return {r.u: write_params(running[r.u], ScoreParams(**{k: r[k] for k in KNOBS})) for r in rows}
+
+
 def write_gate(baseline: DataFrame, tuned: DataFrame, min_spam: int = 50, fp_weight: float = 1.0) -> DataFrame:
     """Whether tuned parameters may replace an owner's, from confusion counts on the held-out part, and why not.
 

@@ -16,7 +16,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     The cheap test for the marker comes first, so that most lines never meet a pattern.
     """
     line = F.rtrim(F.regexp_replace(F.col("line"), "\r+$", ""))
-    d = lines.filter(F.col("line").contains("sieve: ")).select("file", "line_no", line.alias("line"))
+    d = lines.filter(F.col("line").contains(" sieve: ")).select("file", "line_no", line.alias("line"))
     l_ = F.col("line")
     kind = F.when(l_.contains(TRAIN), "T").when(l_.contains(DELIVERY), "D").when(l_.contains(MSGID) & l_.contains(STORED), "M")
     d = d.withColumn("kind", kind).filter(F.col("kind").isNotNull())

@@ -31,6 +31,17 @@ def shadow_per_user(records: DataFrame) -> DataFrame:
     return stats.join(deltas, "u", "left")
 
 
+def most_divergent(per_user: DataFrame, n: int = TOP) -> DataFrame:
+    """The ``n`` owners with most disagreement, then most messages, then by name, with their ``rank``."""
+    top = per_user.orderBy(F.desc("disagree"), F.desc("n"), F.asc("u")).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("disagree"), F.desc("n"), F.asc("u"))))
+
+
+def shown_errors(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` wrongly judged rows, by message, as a report shows them."""
+    return df.filter(F.col("is_spam") != F.col("pred_spam")).orderBy("msg_id").limit(n)
+
+
 def shadow_totals(records: DataFrame) -> DataFrame:
     p, c = F.col("p_verdict") == "SPAM", F.col("c_verdict") == "SPAM"
     return records.agg(

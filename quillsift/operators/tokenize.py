@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsift.functions import text as T
-from quillsift.params import MAX_RAW_TOKENS, TokenizerConfig
+from quillsift.params import TokenizerConfig
 
 
 def _none() -> Column:
@@ -27,7 +27,8 @@ def message_tokens(df: DataFrame, config: TokenizerConfig | None = None) -> Data
 
     Columns used: ``subject``, ``from_``, ``reply_to``, ``sender``, ``to``, ``cc`` (arrays of name and address),
     ``received`` (array of hosts from and by), ``auth_results``, ``received_spf``, ``text_bodies``, ``html_bodies``.
-    The raw tokens are capped at ``MAX_RAW_TOKENS`` as the reference semantics ask, header tokens first.
+    Body tokens are taken while the message has fewer than ``max_raw_tokens`` raw tokens, those of its headers among
+    them; header tokens always count whole.
     """
     c = config or TokenizerConfig()
     low, high = c.min_len, c.max_len
@@ -68,10 +69,13 @@ def message_tokens(df: DataFrame, config: TokenizerConfig | None = None) -> Data
         found = F.filter(T.words(text), lambda w: T.valid(w, low, high))
         return F.concat(F.transform(kept, lambda u: F.concat(F.lit("u:"), u)), T.word_tokens(found, "b:", c.homoglyph_fold, low, high))
 
-    parts.append(_each(F.col("text_bodies"), lambda t: body(t, T.urls_of_text(t, high))))
-    parts.append(_each(F.col("html_bodies"), lambda h: body(T.strip_html(h), T.urls_of_html(h, high))))
-    raw = F.concat(*parts)
-    return df.withColumn("tokens", F.array_sort(F.array_distinct(F.slice(raw, 1, MAX_RAW_TOKENS))))
+    head = F.concat(*parts)
+    texts = _each(F.col("text_bodies"), lambda t: body(t, T.urls_of_text(t, high)))
+    htmls = _each(F.col("html_bodies"), lambda h: body(T.strip_html(h), T.urls_of_html(h, high)))
+    bodies = F.concat(texts, htmls)
+    if c.max_raw_tokens is not None:
+        bodies = F.slice(bodies, F.lit(1), F.greatest(F.lit(c.max_raw_tokens) - F.size(head), F.lit(0)))
+    return df.withColumn("tokens", F.array_sort(F.array_distinct(F.concat(head, bodies))))
 
 
 def first_line(text: Column) -> Column:
@@ -84,7 +88,9 @@ def body_tokens(text: Column, config: TokenizerConfig | None = None) -> Column:
     c = config or TokenizerConfig()
     urls = F.transform(F.filter(T.urls_of_text(text, c.max_len), lambda u: T.valid(u, c.min_len, c.max_len)), lambda u: F.concat(F.lit("u:"), u))
     ws = T.word_tokens(T.valid_words(text, c.min_len, c.max_len), "b:", c.homoglyph_fold, c.min_len, c.max_len)
-    return F.array_sort(F.array_distinct(F.slice(F.concat(urls, ws), 1, MAX_RAW_TOKENS)))
+    raw = F.concat(urls, ws)
+    raw = raw if c.max_raw_tokens is None else F.slice(raw, 1, c.max_raw_tokens)
+    return F.array_sort(F.array_distinct(raw))
 
 
 def subject_tokens(text: Column, config: TokenizerConfig | None = None) -> Column:

@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.shared import drop_path, readable_instant, scratch_path, shuffle_width, with_references
+from quillsift.shared import drop_path, materialize, readable_instant, scratch_path, shuffle_width, with_references
 
 FAR = 9223372036854775807
 
@@ -68,6 +68,10 @@ class UpsertStore:
         m = self.spark.table(self.name).groupBy("id").agg(F.min(F.struct("rank", "row_id")).alias("m"))
         return m.select("id", F.col("m.rank").alias("rank"), F.col("m.row_id").alias("row_id"))
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        drop_path(self.spark, self.path)
+
     def compact(self) -> UpsertStore:
         """Replace all runs by run 0, in a new generation that becomes current once it is complete."""
         old_name, old_path = self.name, self.path
@@ -111,10 +115,29 @@ def surplus(msgid_line: DataFrame, delivery_start: DataFrame, batches_per_run: i
     """``row_id`` of every row of ``msgid_line`` that repeats a message."""
     spark = msgid_line.sparkSession
     store = UpsertStore(spark).upsert(message_ranks(msgid_line, delivery_start, batches_per_run)).compact()
+    kept = materialize(spark.table(store.name).select("row_id"), "kept")
+    store.drop()
     named = with_references(msgid_line.select("row_id", "u", "msgid"), msgids={"k": "msgid"})
     named = named.filter(F.col("u").isNotNull() & F.col("k").isNotNull() & F.col("row_id").isNotNull())
     named = named.select(F.col("row_id").cast("bigint").alias("row_id"))
-    return named.join(spark.table(store.name).select("row_id"), "row_id", "left_anti")
+    return named.join(kept, "row_id", "left_anti")
+
+
+def kept_after_repeats(msgid_line: DataFrame, delivery_start: DataFrame, batches_per_run: int = 90) -> DataFrame:
+    """``row_id`` of the row kept of each message where the batches come in two deliveries that overlap, and the first
+    is delivered again after the compaction: what is kept is the same."""
+    spark = msgid_line.sparkSession
+    ranks = materialize(message_ranks(msgid_line, delivery_start, batches_per_run), "ranks")
+    # run 0 is the compacted one, and an identifier's earlier rows are in it
+    ranks = ranks.withColumn("run", F.col("run") + 2)
+    middle = ranks.agg(F.percentile_approx("run", 0.5)).first()[0]
+    store = UpsertStore(spark)
+    if middle is not None:
+        early, late = ranks.filter(F.col("run") <= middle), ranks.filter(F.col("run") >= middle)
+        store.upsert(early).compact().upsert(late).upsert(late).upsert(early).compact()
+    kept = materialize(store.kept().select("row_id"), "kept")
+    store.drop()
+    return kept
 
 
 def surplus_report(msgid_line: DataFrame, delivery_start: DataFrame) -> DataFrame:

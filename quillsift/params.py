@@ -59,6 +59,8 @@ class TokenizerConfig:
     homoglyph_fold: bool = False
     brand_mismatch: bool = False
     auth_tokens: bool = False
+    #: Raw body tokens of a message that are taken, before duplicates are dropped; None takes all.
+    max_raw_tokens: int | None = 50_000
 
     @staticmethod
     def from_env(get: Callable[[str], str | None] = os.environ.get, prefix: str = "QUILLSIFT_") -> TokenizerConfig:
@@ -67,10 +69,6 @@ class TokenizerConfig:
         return TokenizerConfig(**{f: True for k, f in names.items() if (get(prefix + k) or "").lower() in ("1", "true")})
 
 
-#: No token count of a message goes beyond this before duplicates are dropped.
-MAX_RAW_TOKENS = 50_000
-
-
 def _value(name: str, text: str):
     """The value of a parameter, or a reason against it."""
     if name == "combine_mode":

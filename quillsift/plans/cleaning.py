@@ -50,6 +50,10 @@ def p4_surplus_by_batch(spark, d):
     return upsert_op.surplus_report(table(spark, d, "msgid_line"), table(spark, d, "delivery_start"))
 
 
+def p4_kept(spark, d):
+    return upsert_op.kept_after_repeats(table(spark, d, "msgid_line"), table(spark, d, "delivery_start"))
+
+
 def p5_found(spark, d):
     return rejects_op.rejected(table(spark, d, "token_csv"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "p3_unparsed": p3_unparsed,
     "p4_found": p4_found,
     "p4_surplus_by_batch": p4_surplus_by_batch,
+    "p4_kept": p4_kept,
     "p5_found": p5_found,
     "p5_loaded": p5_loaded,
     "p5_outcomes": p5_outcomes,
@@ -205,6 +210,7 @@ SQL = {
     "p2_found": _P2 + "SELECT src_table, src_field, row_id, reason FROM miss WHERE reason IS NOT NULL",
     "p2_orphans_by_batch": _P2 + "SELECT src_table, src_field, batch_id, reason, count(*) AS misses FROM miss WHERE reason IS NOT NULL GROUP BY ALL",
     "p4_found": _P4 + "SELECT row_id FROM ranked WHERE rn > 1",
+    "p4_kept": _P4 + "SELECT row_id FROM ranked WHERE rn = 1",
     "p4_surplus_by_batch": _P4 + "SELECT batch_id, count(*) AS surplus FROM ranked WHERE rn > 1 GROUP BY batch_id",
     "p5_found": _P5 + "SELECT csv_id, reason FROM judged WHERE reason IS NOT NULL",
     "p5_loaded": _P5 + "SELECT csv_id, file, line_no, word, good, spam FROM judged WHERE reason IS NULL",

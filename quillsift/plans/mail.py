@@ -13,6 +13,7 @@ from quillsift.operators import reports as R
 from quillsift.operators import score as S
 from quillsift.operators import tokenize as TK
 from quillsift.params import ScoreParams
+from quillsift.sources.mime import parse_messages
 from quillsift.shared import materialize, scratch_path, spread_hint, table, with_references
 
 
@@ -103,25 +104,13 @@ def mixed_script_flag(spark, d):
     return table(spark, d, "tokens").filter(T.is_mixed_script(body)).select("token_id", "word")
 
 
-def _brand_misses(names):
-    """``token_id, token`` of every ``token_id, u, name`` that claims a brand other than its owner's domain."""
-    hit = F.filter(T.name_tokens(F.col("name"), F.col("u")), lambda x: x.startswith("x:brandmiss:"))
-    return names.select("token_id", F.explode(hit).alias("token"))
-
-
 def brand_mismatch(spark, d):
-    """Display names against the domain of the owner, as the SQL has them: every twentieth is replaced by one that claims
-    a brand in disguise, the others are cut to 100 characters. ``brand_mismatch_stored`` has the stored names."""
-    t = table(spark, d, "tokens").filter(F.col("word").startswith("h:fromname:"))
-    spoof = F.element_at(F.array(*(F.lit(x) for x in ("AppIe Support", "PayPa1 Service", "C0les Rewards", "Netf1ix"))), (F.pmod("token_id", F.lit(4)) + 1).cast("int"))
-    name = F.when(F.pmod("token_id", F.lit(20)) == 0, spoof).otherwise(F.substring("word", F.lit(12), F.lit(100)))
-    return _brand_misses(t.select("token_id", "u", name.alias("name")))
-
-
-def brand_mismatch_stored(spark, d):
-    """Every stored display name, whole, against the domain of the owner."""
+    """Every stored display name, whole: the brand of its owner's domain, and the token where it claims another one."""
     t = table(spark, d, "tokens").filter(F.col("word").startswith("h:fromname:"))
-    return _brand_misses(t.select("token_id", "u", F.substring("word", F.lit(12), F.length("word")).alias("name")))
+    name = t.select("token_id", "u", F.substring("word", F.lit(12), F.length("word")).alias("name"))
+    hit = F.filter(T.name_tokens(F.col("name"), F.col("u")), lambda x: x.startswith("x:brandmiss:"))
+    own = T.canonical(T.decompose_host(F.try_element_at(F.split(F.lower("u"), "@"), F.lit(2)))["brand"])
+    return name.select("token_id", own.alias("own"), F.try_element_at(hit, F.lit(1)).alias("token"))
 
 
 def auth_tokens(spark, d):
@@ -143,6 +132,14 @@ def html_to_tokens(spark, d):
     return TK.message_tokens(df).select("doc_id", F.explode("tokens").alias("token"))
 
 
+def mime_tokens(spark, d):
+    """Every text as a raw message with folded headers and an encoded body, through the parser and the tokenizer."""
+    docs = documents(spark, d)
+    head = F.concat(F.lit("From: Sender <"), F.coalesce("u", F.lit("none@x.example")), F.lit(">\r\nReceived: from a.example\r\n\tby mx.b.example; now\r\nReceived: from c.example by a.example\r\nMIME-Version: 1.0\r\nContent-Type: text/plain; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"))
+    raw = docs.select(F.col("doc_id").alias("path"), F.encode(F.concat(head, F.base64(F.encode("text", "UTF-8"))), "UTF-8").alias("content"))
+    return TK.message_tokens(parse_messages(raw)).select(F.col("path").alias("doc_id"), F.explode("tokens").alias("token"))
+
+
 # --- models
 
 
@@ -315,6 +312,11 @@ def shadow_compare(spark, d):
     return _rounded(R.shadow_per_user(_shadow(spark, d)), "delta_p50", "delta_p99")
 
 
+def shadow_ordered(spark, d):
+    """The owners whose two scorings differ most."""
+    return R.most_divergent(R.shadow_per_user(_shadow(spark, d))).select("rank", "u", "n", "disagree")
+
+
 def shadow_totals(spark, d):
     return R.shadow_totals(_shadow(spark, d))
 
@@ -428,16 +430,26 @@ def _users(spark, d):
     return latest_per_user(spark, d).join(table(spark, d, "model_totals").select("u", F.col("total_good").alias("good"), F.col("total_spam").alias("spam")), "u")
 
 
+def _corrected(spark, d):
+    """Owners with the corrections of all their messages and the size of their model."""
+    c = correlate_labels(spark, d).groupBy("u").agg(F.count_if(F.col("label") == "fn").alias("fn"), F.count_if(F.col("label") == "fp").alias("fp"))
+    return c.join(table(spark, d, "model_totals").select("u", F.col("total_good").alias("good"), F.col("total_spam").alias("spam")), "u")
+
+
 def cluster_digest(spark, d):
     return R.cluster_totals(_users(spark, d))
 
 
 def digest_top_missed(spark, d):
-    return R.top_missed(_users(spark, d))
+    return R.top_missed(_corrected(spark, d))
+
+
+def digest_false_positives(spark, d):
+    return R.with_false_positives(_corrected(spark, d))
 
 
 def digest_candidates(spark, d):
-    return R.threshold_candidates(_users(spark, d).withColumn("fn", F.col("fn") + 5))
+    return R.threshold_candidates(_corrected(spark, d))
 
 
 def allowlist_semi(spark, d):
@@ -445,6 +457,18 @@ def allowlist_semi(spark, d):
     return R.allowed(table(spark, d, "delivery_start").select("row_id", "u"), allow)
 
 
+def allowlist_all(spark, d):
+    """A list with ``*`` among its entries allows every row."""
+    allow = table(spark, d, "model_totals").select(F.when(F.col("total_good") > F.col("total_spam"), F.col("u")).otherwise("*").alias("entry"))
+    return R.allowed(table(spark, d, "delivery_start").select("row_id", "u"), allow)
+
+
+def tune_skipped(spark, d):
+    """Owners whose stored model has too few messages to tune by, and the others."""
+    t = table(spark, d, "model_totals")
+    return EV.tunable(t).select("u", "skipped")
+
+
 def limit_per_folder(spark, d):
     f = table(spark, d, "mailbox_file").select("u", "folder", "path", "file_id")
     return EV.limit_per(f, 5, "path", "u", "folder").select("u", "folder", "path")
@@ -476,14 +500,14 @@ def _stream(spark, df, name):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
-def _run(spark, stream, name, mode="append"):
+def _run(spark, stream, name):
     """Run a stream to its end; the result is a table in the shared folder."""
     out = scratch_path(spark, name)
 
     def write(batch, _):
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("append").parquet(out)
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", scratch_path(spark, name + "-checkpoint")).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", scratch_path(spark, name + "-checkpoint")).trigger(availableNow=True).start()
     if not q.awaitTermination(1800):
         q.stop()
         raise TimeoutError(name)
@@ -506,19 +530,21 @@ def stream_session_stitch(spark, d):
 def stream_daily_counts(spark, d):
     from quillsift.streaming.stitch import daily_counts
 
-    src = table(spark, d, "delivery_start").select("loaded_at", "verdict").filter("verdict is not null")
-    out = _run(spark, daily_counts(_stream(spark, src, "deliveries"), "loaded_at", "verdict"), "daily", "complete")
-    return out.select(F.col("d").cast("string").alias("d"), "verdict", "n")
+    src = table(spark, d, "delivery_start").select("loaded_at", "verdict").filter("verdict is not null and loaded_at is not null")
+    # days are given out once they are final and their state is dropped; an event of a later day closes the last one
+    end = src.agg((F.max("loaded_at") + F.expr("INTERVAL 3 DAYS")).alias("loaded_at"), F.lit(None).cast("string").alias("verdict")).filter("loaded_at is not null")
+    out = _run(spark, daily_counts(_stream(spark, src.unionByName(end), "deliveries"), "loaded_at", "verdict"), "daily")
+    return out.filter("verdict is not null").select(F.col("d").cast("string").alias("d"), "verdict", "n")
 
 
 NAMES = """tokenize_body subject_unigrams subject_bigrams token_doc_freq url_normalize host_decompose effective_tld
-email_address_tokens homoglyph_fold mixed_script_flag brand_mismatch brand_mismatch_stored auth_tokens html_to_tokens train_model model_totals
+email_address_tokens homoglyph_fold mixed_script_flag brand_mismatch auth_tokens html_to_tokens train_model model_totals
 model_counts_by_user model_merge model_cleanup model_export model_import model_import_roundtrip token_prob top_interesting
 min_distance_select score_fisher score_geometric score_good_bias score_gated explain_top_tokens confusion_matrix folder_eval
 score_percentiles score_histogram stratified_split threshold_sweep params_grid tune_per_user shadow_compare shadow_totals
 fail_open rail_score log_parse session_stitch session_orphans train_events_by_user events_by_date top_users harvest_totals
 correlate_labels correlate_bands correlate_unmatched nightly_stats latest_per_user cluster_digest digest_top_missed
-digest_candidates allowlist_semi limit_per_folder receive_replay convergence_train stream_session_stitch
+digest_candidates digest_false_positives allowlist_semi allowlist_all tune_skipped mime_tokens shadow_ordered limit_per_folder receive_replay convergence_train stream_session_stitch
 stream_daily_counts""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 

@@ -111,7 +111,7 @@ REG = "CASE WHEN ok THEN array_to_string(l[n - k:], '.') END"
 BRAND = "CASE WHEN ok THEN l[n - k] END"
 TLD = "CASE WHEN ok THEN array_to_string(l[n - k + 1:], '.') END"
 
-EVENTS = r"""WITH l AS (SELECT file, line_no, rtrim(regexp_replace(line, '\r+$', '')) AS line FROM mail_log WHERE line LIKE '%sieve: %'),
+EVENTS = r"""WITH l AS (SELECT file, line_no, rtrim(regexp_replace(line, '\r+$', '')) AS line FROM mail_log WHERE line LIKE '% sieve: %'),
 k AS (SELECT *, CASE WHEN contains(line, 'sieve: DEBUG: TRAIN: ') THEN 'T' WHEN contains(line, 'sieve: DEBUG: DELIVERY: ') THEN 'D'
   WHEN contains(line, 'sieve: msgid=') AND contains(line, ': stored mail into mailbox ''') THEN 'M' END AS kind FROM l),
 m AS (SELECT *, CASE kind WHEN 'T' THEN 'sieve: DEBUG: TRAIN: ' WHEN 'D' THEN 'sieve: DEBUG: DELIVERY: ' ELSE 'sieve: msgid=' END AS mark FROM k WHERE kind IS NOT NULL),
@@ -192,6 +192,16 @@ FROM msg JOIN b0 b ON msg.u = b.u AND msg.msg_id = b.msg_id LEFT JOIN rail ON ms
 SHADOW = f"""{MODEL}, {verdicts(name="sa")}, {verdicts(name="sb", x="2", threshold=0.6, k=27, strength=0.5)},
 sh AS (SELECT sa.msg_id, sa.u, sa.verdict = 'SPAM' AS p, sb.verdict = 'SPAM' AS c, sb.score - sa.score AS delta FROM sa JOIN sb ON sa.msg_id = sb.msg_id AND sa.u = sb.u)"""
 
+CORRECTED = """us AS (SELECT u, fn, fp, total_good AS good, total_spam AS spam FROM (SELECT u, count(*) FILTER (label = 'fn') AS fn, count(*) FILTER (label = 'fp') AS fp FROM co GROUP BY u) JOIN model_totals USING (u))"""
+# what the parser finds in the made-up headers, and the body tokens of the text
+MIME = rf"""{BODY}, hosts AS (SELECT doc_id, lower(coalesce(u, 'none@x.example')) AS a, string_split(lower(coalesce(u, 'none@x.example')), '@')[2] AS host FROM d), {HOST_PARTS},
+x AS (SELECT doc_id, unnest(tokens) AS token FROM b UNION ALL SELECT doc_id, unnest(['h:received:a.example', 'h:received:mx.b.example']) FROM d
+  UNION ALL SELECT doc_id, unnest([CASE WHEN strlen(a) BETWEEN 3 AND 40 THEN 'h:from:' || a END, CASE WHEN strlen(host) BETWEEN 3 AND 40 THEN 'h:from:' || host END,
+  CASE WHEN ({REG}) <> host AND strlen({REG}) BETWEEN 3 AND 40 THEN 'h:from:' || ({REG}) END, CASE WHEN strlen({BRAND}) BETWEEN 2 AND 40 THEN 'h:from:' || ({BRAND}) END]) FROM hp)
+SELECT DISTINCT doc_id, token FROM x WHERE token IS NOT NULL"""
+HTML = rf"""{DOCS}, h AS (SELECT doc_id, ' ' || regexp_replace(text, '[<>&]', ' ', 'g') || ' go ' AS t FROM d)
+SELECT doc_id, unnest(list_distinct(list_append(list_transform({words("t")}, lambda x: 'b:' || x), 'u:https://a.example/p'))) AS token FROM h"""
+
 SQL = {
     "tokenize_body": f"{BODY} SELECT doc_id, unnest(tokens) AS token FROM b",
     "subject_unigrams": f"{BODY} SELECT doc_id, unnest(list_distinct(ws)) AS word FROM s",
@@ -207,10 +217,10 @@ x AS (SELECT address, unnest([CASE WHEN strlen(a) BETWEEN 3 AND 40 THEN 'h:from:
 SELECT address, token FROM x WHERE token IS NOT NULL""",
     "homoglyph_fold": f"WITH f AS (SELECT token_id, lower(word) AS w, translate(lower(word), {Q(FOLD_FROM)}, {Q(FOLD_TO)}) AS s FROM tokens) SELECT token_id, s AS skeleton FROM f WHERE s <> w AND strlen(s) = length(s)",
     "mixed_script_flag": r"SELECT token_id, word FROM tokens WHERE regexp_matches(regexp_replace(word, '^(b|u|h:[a-z]+):', ''), '[A-Za-z]') AND regexp_matches(regexp_replace(word, '^(b|u|h:[a-z]+):', ''), '[\x{0400}-\x{04FF}\x{0370}-\x{03FF}\x{0530}-\x{058F}]')",
-    "brand_mismatch": f"""WITH n AS (SELECT token_id, string_split(lower(u), '@')[2] AS host, CASE WHEN token_id % 20 = 0 THEN ['AppIe Support', 'PayPa1 Service', 'C0les Rewards', 'Netf1ix'][token_id % 4 + 1] ELSE substr(word, 12, 100) END AS name FROM tokens WHERE word LIKE 'h:fromname:%'),
+    "brand_mismatch": f"""WITH n AS (SELECT token_id, string_split(lower(u), '@')[2] AS host, substr(word, 12) AS name FROM tokens WHERE word LIKE 'h:fromname:%'),
 hosts AS (SELECT * FROM n), {HOST_PARTS},
 c AS (SELECT token_id, {CANON(f"({BRAND})")} AS own, list_filter(list_transform(list_filter(string_split_regex(translate(name, {Q(FOLD_FROM)}, {Q(FOLD_TO)}), '[^{LETTER}]+'), lambda x: x <> ''), lambda x: {CANON("x")}), lambda x: x IN ({_BRANDS}))[1] AS claimed FROM hp)
-SELECT token_id, 'x:brandmiss:' || claimed AS token FROM c WHERE claimed IS NOT NULL AND NOT coalesce(contains(own, claimed), false)""",
+SELECT token_id, own, CASE WHEN claimed IS NOT NULL AND NOT coalesce(contains(own, claimed), false) THEN 'x:brandmiss:' || claimed END AS token FROM c""",
     "auth_tokens": """SELECT row_id, unnest(list_filter(['x:auth:spf_' || CASE WHEN verdict = 'GOOD' THEN 'pass' ELSE 'fail' END, CASE WHEN coalesce(verdict, '') <> '' THEN 'x:auth:dkim_' || lower(verdict) END, 'x:auth:dmarc_none', 'x:spf:' || lower(verdict)], lambda x: x IS NOT NULL)) AS token FROM delivery_start""",
     "train_model": f"{MODEL} SELECT u, token, good, spam FROM model",
     "model_totals": f"{MODEL} SELECT u, total_good, total_spam FROM totals",
@@ -260,8 +270,14 @@ SELECT CAST(cand AS INT) AS cand, {CONF} FROM jd GROUP BY cand""",
     "nightly_stats": f"{NIGHTLY} SELECT * FROM n",
     "latest_per_user": f"{NIGHTLY} SELECT * FROM la",
     "cluster_digest": f"{NIGHTLY} SELECT count(*) AS users, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(good) AS BIGINT) AS good, CAST(sum(spam) AS BIGINT) AS spam, count(*) FILTER (good >= 5000 AND spam >= 5000) AS mature FROM us",
-    "digest_top_missed": f"{NIGHTLY} SELECT * FROM (SELECT * FROM us ORDER BY fn DESC, u LIMIT 20) WHERE fn > 0",
-    "digest_candidates": f"{NIGHTLY} SELECT u, d, fn + 5 AS fn, fp, good, spam FROM us WHERE good >= 5000 AND spam >= 5000 AND fn + 5 >= 5",
+    "digest_top_missed": f"{DELIV}, {CORRECTED} SELECT * FROM (SELECT * FROM us ORDER BY fn DESC, u LIMIT 20) WHERE fn > 0",
+    "digest_candidates": f"{DELIV}, {CORRECTED} SELECT * FROM us WHERE good >= 5000 AND spam >= 5000 AND fn >= 5",
+    "digest_false_positives": f"{DELIV}, {CORRECTED} SELECT * FROM us WHERE fp > 0",
+    "allowlist_all": "SELECT row_id, u FROM delivery_start",
+    "tune_skipped": "SELECT u, coalesce(total_good, 0) < 100 OR coalesce(total_spam, 0) < 50 AS skipped FROM model_totals",
+    "mime_tokens": MIME,
+    "html_to_tokens": HTML,
+    "shadow_ordered": f"{SHADOW}, g AS (SELECT u, count(*) AS n, count(*) FILTER (p <> c) AS disagree FROM sh GROUP BY u) SELECT CAST(row_number() OVER (ORDER BY disagree DESC, n DESC, u) AS INT) AS rank, u, n, disagree FROM g ORDER BY disagree DESC, n DESC, u LIMIT 20",
     "allowlist_semi": "SELECT row_id, u FROM delivery_start WHERE lower(u) IN (SELECT lower(upper(u)) FROM model_totals WHERE total_good > total_spam)",
     "limit_per_folder": "SELECT u, folder, path FROM (SELECT *, row_number() OVER (PARTITION BY u, folder ORDER BY path) AS i FROM mailbox_file) WHERE i <= 5",
     "stream_session_stitch": f"{PAIRS} SELECT * FROM st WHERE msgid IS NOT NULL",

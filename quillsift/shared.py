@@ -22,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Where that is unset (tests, a local session)
-    a temporary folder of this machine is chosen once and kept in the session's settings.
+    A cluster names it in ``spark.checkpoint.dir``; without it nothing runs there.  In a local session (tests) a
+    temporary folder of this machine is chosen once and kept in the session's settings.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         path = "file://" + tempfile.mkdtemp(prefix="quillsift-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

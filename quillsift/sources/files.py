@@ -66,6 +66,14 @@ def sniff_msgid(content: Column) -> Column:
     return F.nullif(F.trim(found), F.lit(""))
 
 
+def sniff_msgid_anywhere(content: Column) -> Column:
+    """The first ``message-id:`` line anywhere in a message, its backslashes and quotes escaped, cut to 200 bytes."""
+    text = F.make_valid_utf8(content.cast("string"))
+    found = F.trim(F.regexp_replace(F.regexp_extract(text, r"(?im)^message-id:[ \t]*([^\n]*)", 1), "\r", ""))
+    escaped = F.regexp_replace(found, r'([\\"])', r"\\$1")
+    return F.nullif(F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(escaped, "UTF-8"), 1, 200).cast("string")), "\ufffd$", ""), F.lit(""))
+
+
 def sniff_verdict(content: Column) -> Column:
     """``verdict`` and ``score`` of the status header within the first bytes."""
     head, pattern = _head(content, SCORE_BYTES), r"(?im)^X-Spam-Status: (SPAM|GOOD) ([0-9.]+)"
@@ -138,6 +146,37 @@ def read_json_lines(lines: DataFrame, ddl: str, column: str = "line") -> DataFra
     return d.select("*", "r.*").withColumn("bad", F.col("__corrupt").isNotNull()).drop("r", "__corrupt")
 
 
+def load_deliveries(lines: DataFrame, user: str | None = None) -> DataFrame:
+    """``u, msgid, verdict, score, folder, seq`` of delivery lines (``line, line_no``), of one owner or all: the last line of
+    a message counts. Left out are lines of another type and those without owner, msgid, verdict or folder."""
+    d = read_json_lines(lines, DELIVERY_JSON).filter("type = 'delivery' and u is not null and msgid is not null and verdict is not null and folder is not null")
+    d = d if user is None else d.filter(F.col("u") == user)
+    last = d.groupBy("u", "msgid").agg(F.max_by(F.struct("verdict", "score", "folder", F.col("line_no").alias("seq")), "line_no").alias("d"))
+    return last.select("u", "msgid", "d.*")
+
+
+def read_stats_tree(spark: SparkSession, root: str) -> DataFrame:
+    """The last readable line of every ``.../domain/msg/user/*stats.jsonl`` below a root, with ``u`` from its path."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*stats.jsonl").text(root)
+    at = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    lines = raw.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), F.col("value").alias("line"))
+    good = read_json_lines(lines, STATS_JSON).filter("not bad")
+    parts = F.split("file", "/")
+    owner = F.lower(F.concat(F.try_element_at(parts, F.lit(-2)), F.lit("@"), F.try_element_at(parts, F.lit(-4))))
+    cols = ["d", "db", "in", "jk", "corr", "w"]
+    last = good.groupBy("file").agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in cols)), "at").alias("r"))
+    return last.select(owner.alias("u"), "r.*")
+
+
+def first_look_back(spark: SparkSession, path: str, cursor=None, now=None) -> DataFrame:
+    """Messages changed since a cursor, or in the last 24 hours where there is none; files of one name, time and length in
+    several folders (links of one message) come once."""
+    now = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    since = now - F.expr("INTERVAL 24 HOURS") if cursor is None else F.lit(cursor).cast("timestamp")
+    df = read_folder(spark, path, recursive=True).filter(F.col("modificationTime") > since)
+    return df.withColumn("name", F.substring_index("path", "/", -1)).dropDuplicates(["name", "modificationTime", "length"]).drop("name")
+
+
 def event_json(deliveries: DataFrame) -> DataFrame:
     """Delivery events as JSON lines: a numeric score as a number, absent fields left out."""
     num = F.col("score").try_cast("double")
