@@ -61,12 +61,15 @@ _URL = regex.compile(
     |(?<![\p{Latin}\d])[a-z0-9-]{2,}(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?![\p{Latin}])""",
     regex.X,
 )
+_DOMAIN = re.compile(r"\.[a-z]{2}")
 _MAY_BE_URL = re.compile(r"[a-z0-9-]\.[a-z]{2}|@|://")
 _INITIALS = regex.compile(r"(?<![\p{L}\p{N}])(?:\p{L}\p{M}*\.){2,}")
 _LETTERS = r"(?:(?![\p{Thai}\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}‌‍⁠​﻿\xad])+"
 _RUNS = r"[\p{Thai}]+|[\p{Han}\p{Hiragana}\p{Katakana}ー々]+"
 _WORD = regex.compile(rf"{_RUNS}|{_LETTERS}(?:['’]{_LETTERS})*")
 _LEFT = regex.compile(rf"(?r)(?:{_RUNS}|(?:{_LETTERS}['’])*{_LETTERS}|\p{{N}}+(?:[.,:/‌‍⁠​﻿\xad]+\p{{N}}+)*)")
+#: Marks that surely don't belong to a word beside them.
+_AFTER_WORD, _BEFORE_WORD = frozenset(" \n\t,.;:!?)"), frozenset(" \n\t(\"“«")
 #: What is between tokens: blanks, and quote marks at line starts.
 _BETWEEN = re.compile(r"(?m)(?:^[ \t]*(?:>[ \t]?)+|\s)*")
 _END = regex.compile(r"(?m)(?:\s|^[ \t]*(?:>[ \t]?)+(?=\s|\Z))+\Z")
@@ -141,6 +144,12 @@ def _next(text: str, at: int) -> tuple[str, str]:
     c = text[at]
     if c.isnumeric():
         return "", "num"
+    if "A" <= c < "ɐ" and c.isalpha():
+        k, n = at + 1, len(text)
+        while k < n and (x := text[k]) < "ɐ" and x.isalpha():
+            k += 1
+        if k < n and text[k] in _AFTER_WORD and k > at + 1:
+            return text[at:k], "low" if c.islower() else "Up"
     m = _WORD.match(text, at)
     if m is None:
         return "", "open" if c in _OPEN or c == '"' else "inv" if c in "¿¡" else "pun"
@@ -154,6 +163,17 @@ def _next(text: str, at: int) -> tuple[str, str]:
     return _known(w), shape
 
 
+def _before(text: str, lo: int, end: int) -> str | None:
+    """The word or number that ends at a position."""
+    k = end
+    while k > lo and (x := text[k - 1]) < "ɐ" and x.isalpha():
+        k -= 1
+    if k < end and (k == lo or text[k - 1] in _BEFORE_WORD):
+        return text[k:end]
+    m = _LEFT.match(text, lo, end)
+    return m[0] if m else None
+
+
 def _known(word: str) -> str:
     """A word in one width, without characters that have none."""
     return word if word.isascii() else unicodedata.normalize("NFKC", word.translate(_NO_WIDTH))
@@ -189,7 +209,7 @@ def scan(text: str) -> tuple[int, int, list[int], list[int], list[str], list[boo
         return None
     marks = [m.span() for m in _MARK.finditer(text, lo, hi)]
     urls: list[tuple[int, int]] = []
-    if marks and _MAY_BE_URL.search(text):
+    if marks and ("@" in text or "://" in text or _DOMAIN.search(text)):
         urls = _urls(text)
         if urls:
             marks = [(a, b) for a, b in marks if not any(s <= a < e for s, e in urls)]
@@ -237,9 +257,9 @@ def scan(text: str) -> tuple[int, int, list[int], list[int], list[str], list[boo
                 left, start = "PAIR", pair[0]
             elif url := next((s for s, e in urls if e == j), None):
                 left, start = "OTH", url
-            elif m := _LEFT.match(text, lo, j):
-                start = m.start()
-                left = ("NUM" if len(m[0].translate(_NO_WIDTH)) < 3 else "NUM3") if text[j - 1].isnumeric() else _word_left(m[0], stop)
+            elif word := _before(text, lo, j):
+                start = j - len(word)
+                left = ("NUM" if len(word.translate(_NO_WIDTH)) < 3 else "NUM3") if text[j - 1].isnumeric() else _word_left(word, stop)
             else:
                 left, start = "OTH", j - 1
             found.append((start, *_closing(marks, match, i + 1, b, f"{stop}{PART}{left}")))
