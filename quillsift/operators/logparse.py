@@ -166,17 +166,22 @@ _FIELD_LINE = re.compile(r'[ \t]+(?:user:|verdict:|folder:)|[ \t]*["}]|[ \t]+(?!
 def _lex(text: str) -> tuple[tuple[str, ...], list[tuple[int, int]]]:
     names, spans = [], []
     at = 0
-    while m := LEXER.match(text, at):
-        name, at = m.lastgroup, m.end()
+    # the stamp, and what follows it
+    while len(names) < 2 and (m := LEXER.match(text, at)) and m.lastgroup in ("PRI", *HEADS):
+        at = m.end()
+        names.append(m.lastgroup)
+        spans.append(m.span())
+        if m.lastgroup in HEADS:
+            if h := HEADS[m.lastgroup].match(text, at):
+                for span, g in sorted((h.span(g), g) for g in h.groupdict() if h[g] is not None):
+                    names.append(g)
+                    spans.append(span)
+                at = h.end()
+            break
+    for m in LEXER.finditer(text, at):
+        name = m.lastgroup
         if name == "SKIP":
             continue
-        head = HEADS.get(name) if len(names) < 2 and (not names or names[0] == "PRI") else None
-        if head and (h := head.match(text, at)):
-            found = sorted((h.span(g), g) for g in h.groupdict() if h[g] is not None)
-            names += [name, *(g for _, g in found)]
-            spans += [m.span(), *(span for span, _ in found)]
-            at = h.end()
-            continue
         if name in ("TEXT", "CONT") and names and names[-1] == name:
             spans[-1] = (spans[-1][0], m.end())
             continue
