@@ -9,8 +9,8 @@ Two different words of printable ASCII without blanks never look the same, so su
 word with other characters has their look: all others are left out by a semi join before anything is sorted
 under the collation.
 
-Everything stays in the JVM: the table is a literal of one ``translate``; the few characters that stand
-for several letters (ligatures) take a second path that only words containing one enter.
+The table is a literal of one ``translate``; the few characters that stand for several letters (ligatures) take a second
+path that only words containing one enter. Words whose combining marks may be out of order are composed in Arrow batches.
 
 Defined results
 ---------------
@@ -26,8 +26,10 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Letters of other scripts and styles drawn like the plain letter in the same place below.
 DRAWN = (
@@ -70,43 +72,19 @@ def tables() -> tuple[str, str, dict[str, str]]:
     return "".join(one) + "".join(gone), "".join(one.values()), several
 
 
-@lru_cache(1)
-def marks() -> tuple[str, dict[str, str], dict[str, str]]:
-    """The combining marks that have a place in the canonical order as a character class, the place of each, and the
-    canonical decompositions of the letters that hold one."""
-    codes = [c for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))]
-    runs: list[list[int]] = []
-    for c in codes:
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    letters = {}
-    for code in (*range(0xC0, 0xAC00), *range(0xF900, 0x20000)):
-        c = chr(code)
-        whole = unicodedata.normalize("NFD", c)
-        if whole != c and any(unicodedata.combining(x) for x in whole):
-            letters[c] = whole
-    places = {chr(c): f"{unicodedata.combining(chr(c)):03d}" for c in codes}
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]", places, letters
-
-
 def _map(d: dict[str, str]):
     return F.map_from_arrays(F.split(F.lit("\x1f".join(d)), "\x1f"), F.split(F.lit("\x1f".join(d.values())), "\x1f"))
 
 
-def ordered(c):
-    """A text with its combining marks apart from their letters and in canonical order; others are left as they are."""
-    mark, places, letters = marks()
-    apart = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(_map(letters), x), x)), "")
+@F.pandas_udf(StringType())
+def _composed(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
-    def sort(run):
-        each = F.transform(F.split(run, ""), lambda x, i: F.struct(F.try_element_at(_map(places), x).alias("p"), i.alias("i"), x.alias("x")))
-        return F.array_join(F.transform(F.array_sort(each), lambda s: s["x"]), "")
 
-    pieces = F.regexp_extract_all(apart, F.lit(f"(?s){mark}{{2,}}|."), F.lit(0))
-    whole = F.array_join(F.transform(pieces, lambda p: F.when(F.char_length(p) > 1, sort(p)).otherwise(p)), "")
-    return F.when(c.rlike(mark), whole).otherwise(c)
+def ordered(c):
+    """A text with its combining marks in canonical order. Only texts with two marks in a row, or one behind other than
+    ASCII, can be out of order; the collation takes care of all others."""
+    return F.coalesce(_composed(F.when(c.rlike(r"\p{M}\p{M}|[^\x00-\x7F]\p{M}"), c)), c)
 
 
 def with_look(df: DataFrame) -> DataFrame:
